@@ -1,6 +1,6 @@
-"""All queries on the reference's own operators, with SQL that gives the same rows."""
+"""All queries on the engine's own operators, with SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from windloom.plans import distribution_queries, spectral_queries, window_queries  # noqa: F401  register their queries
+from windloom.plans.base import ORACLE, QUERIES  # noqa: F401
