@@ -35,7 +35,7 @@ FOLD_ASCII = {ord(k): v for k, v in SUBSTITUTES.items()}
 _BREAK = re.compile(r"[\W_]+")
 
 #: Prefix lengths that may become entries, beside whole words.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled rows used for fitting, at most: toxic, other.
 MAX_TOXIC, MAX_OTHER = 10_000, 20_000
 
@@ -111,35 +111,54 @@ def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most max_toxic + max_other rows
 
 
-def learn(docs: DataFrame, labels: DataFrame, least: int = 5, log_odds: float = 2.5, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Lexicon:
+def _entries(toxic: dict[str, tuple[int, int, int]], other: dict[str, tuple[int, int]], n1: tuple[int, int], n0: tuple[int, int], half: int | None, least: int, log_odds: float) -> dict[str, float]:
+    """Weights from one half of the sample or (None) from all of it."""
+    pick = (lambda x: x[-1]) if half is None else (lambda x: x[half])
+    size = sum if half is None else (lambda n: n[half])
+    out = {}
+    for f, groups in toxic.items():
+        seen = other.get(f, (0, 0))
+        n = sum(seen) if half is None else seen[half]
+        if pick(groups) >= least:
+            w = math.log((pick(groups) + 0.5) / (size(n1) + 1)) - math.log((n + 0.5) / (size(n0) + 1))
+            if w >= log_odds:
+                out[f] = w
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, least: int = 5, log_odds: float = 2.0, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Lexicon:
     """Entries that toxic texts hold far more often than others, then the curve.
 
-    Support is counted in different min-hashes of the texts' words, so that a group of copies counts about once.
+    Support is counted in different min-hashes of the texts' words, so that a group of copies counts about
+    once. The curve is fitted on weights from the other half's entries, as on texts not seen before.
     """
-    sample = stored(labelled(docs, labels, max_toxic, max_other))
+    sample = stored(labelled(docs, labels, max_toxic, max_other).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")))
     spark = sample.sparkSession
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1:
+    sizes = {(r["toxic"], r["half"]): r["count"] for r in sample.groupBy("toxic", "half").count().collect()}
+    n1, n0 = (tuple(sizes.get((t, h), 0) for h in (0, 1)) for t in (1, 0))
+    if not sum(n1):
         return Lexicon({})
 
     def make():
         def run(cols):
-            out = {"feature": [], "key": []}
-            for text in cols["text"]:
+            out = {"feature": [], "key": [], "half": []}
+            for text, half in zip(cols["text"], cols["half"]):
                 words = set(folded(text).split())
                 if words:
                     key = min(xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"), 7) for w in words)
                     got = features(words)
                     out["feature"] += got
                     out["key"] += [key] * len(got)
+                    out["half"] += [half] * len(got)
             return out
 
         return run
 
-    seen = map_batches(sample.where("toxic = 1").select("text"), make, "feature string, key long")
-    support = seen.groupBy("feature", "key").agg(F.count("*").alias("n")).groupBy("feature").agg(F.count("*").alias("groups"), F.sum("n").alias("n")).where(F.col("groups") >= least)
-    toxic = {r["feature"]: (r["groups"], r["n"]) for r in support.collect()}  # bounded by the sample
+    seen = map_batches(sample.where("toxic = 1").select("text", "half"), make, "feature string, key long, half int")
+    by_key = seen.groupBy("feature", "key").agg(F.max(F.when(F.col("half") == 0, 1).otherwise(0)).alias("h0"), F.max(F.when(F.col("half") == 1, 1).otherwise(0)).alias("h1"))
+    fewer = max(3, least - 2)
+    support = by_key.groupBy("feature").agg(F.sum("h0").alias("h0"), F.sum("h1").alias("h1"), F.count("*").alias("groups")).where((F.col("groups") >= least) | (F.greatest("h0", "h1") >= fewer))
+    toxic = {r["feature"]: (r["h0"], r["h1"], r["groups"]) for r in support.collect()}  # bounded by the sample
     sent = spark.sparkContext.broadcast(frozenset(toxic))
 
     def make_other():
@@ -147,25 +166,22 @@ def learn(docs: DataFrame, labels: DataFrame, least: int = 5, log_odds: float =
 
         def run(cols):
             counts: Counter = Counter()
-            for text in cols["text"]:
-                counts.update(features(set(folded(text).split())) & wanted)
-            return {"feature": list(counts), "n": list(counts.values())}
+            for text, half in zip(cols["text"], cols["half"]):
+                counts.update((f, half) for f in features(set(folded(text).split())) & wanted)
+            return {"feature": [f for f, _ in counts], "half": [h for _, h in counts], "n": list(counts.values())}
 
         return run
 
-    other = {r["feature"]: r["n"] for r in map_batches(sample.where("toxic = 0").select("text"), make_other, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    entries = {}
-    for f, (groups, n) in toxic.items():
-        w = math.log((groups + 0.5) / (n1 + 1)) - math.log((other.get(f, 0) + 0.5) / (n0 + 1))
-        if w >= log_odds and other.get(f, 0) <= 0.02 * n + 0.5:
-            entries[f] = w
-    lexicon = Lexicon(entries).build()
-    return Lexicon(entries, curve=_curve(sample, lexicon))
+    told = map_batches(sample.where("toxic = 0").select("text", "half"), make_other, "feature string, half int, n long").groupBy("feature").agg(*(F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)))
+    other = {r["feature"]: (r["n0"], r["n1"]) for r in told.collect()}
+    entries = _entries(toxic, other, n1, n0, None, least, log_odds)
+    parts = [_entries(toxic, other, n1, n0, h, fewer, log_odds) for h in (0, 1)]
+    return Lexicon(entries, curve=_curve(sample, parts))
 
 
-def _curve(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
-    """Ridge logistic regression of the label on log weight and log length, by Newton's method."""
-    rows = weighed(sample, lexicon, ["toxic"]).select("weight", "n_words", "toxic").collect()  # at most max_toxic + max_other rows of three numbers
+def _curve(sample: DataFrame, parts: list[dict[str, float]]) -> tuple[float, float, float]:
+    """Ridge logistic regression of the label on log weight and log length, by Newton's method; each half is weighed by the other's entries."""
+    rows = [r for h in (0, 1) for r in weighed(sample.where(F.col("half") == h), Lexicon(parts[1 - h]), ["toxic"]).select("weight", "n_words", "toxic").collect()]  # at most max_toxic + max_other rows of three numbers
     x = np.array([[1.0, math.log1p(r[0]), math.log1p(r[1])] for r in rows])
     y = np.array([r[2] for r in rows], dtype=float)
     w = np.zeros(3)
