@@ -224,7 +224,7 @@ class Pieces:
                 continue
             for i, s, p in into[at]:
                 made += 1
-                heapq.heappush(heap, (-(g + s + forward[i]), made, i, g + s, ((i, at, p), path)))
+                heapq.heappush(heap, (-(g + s + forward[i]), -made, i, g + s, ((i, at, p), path)))  # of equal ones the latest, which is nearest the start
 
     def decode(self, ids: bytes | list[int]) -> str:
         raw = self.raw

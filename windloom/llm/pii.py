@@ -189,16 +189,16 @@ def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def redact(docs: DataFrame, few: int = 200_000, **how) -> DataFrame:
     """docs with all spans masked in text, and n_chars (if there) counted anew; all columns and rows stay."""
     scanned = stored(scan(docs.select("doc_id", "text")))
-    more = stored(discovered(scanned, **how).withColumnRenamed("h", "_h").withColumnRenamed("n", "_n"))
-    rows = docs.withColumn("_key", F.struct(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("h"), F.coalesce(F.length("text"), F.lit(-1)).cast("long").alias("n")))
+    more = stored(discovered(scanned, **how).toDF("__wl_h", "__wl_n", "__wl_more"))
+    rows = docs.withColumn("__wl_key", F.struct(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("h"), F.coalesce(F.length("text"), F.lit(-1)).cast("long").alias("n")))
     small = more.count() <= few  # else both sides are shuffled
-    rows = rows.join(F.broadcast(more) if small else more, (F.col("_key.h") == F.col("_h")) & (F.col("_key.n") == F.col("_n")), "left").select(*docs.columns, "more")
+    rows = rows.join(F.broadcast(more) if small else more, (F.col("__wl_key.h") == F.col("__wl_h")) & (F.col("__wl_key.n") == F.col("__wl_n")), "left").select(*docs.columns, "__wl_more")
     names = docs.columns
 
     def make():
         def run(cols):
             texts = []
-            for text, extra in zip(cols["text"], cols["more"]):
+            for text, extra in zip(cols["text"], cols["__wl_more"]):
                 texts.append(mask(text, base_spans(text) + [(s["kind"], s["start"], s["stop"]) for s in extra or ()]))
             out = {c: cols[c] for c in names} | {"text": texts}
             if "n_chars" in out:
