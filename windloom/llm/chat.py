@@ -8,7 +8,7 @@ tasks is solved exactly: each task sends the matrices of its first and last conv
 the cuts follow from their product, and each task then traces back its own turns. Nothing gathers a whole conversation.
 
 Turns are ordered by (turn, role, text), nulls first. Null texts count as empty, null or unknown roles may
-take any role cheaply, rows without conv_id form one conversation. Ties go to the smaller state before.
+take any role cheaply, rows without conv_id form one conversation. Of equally cheap repairs a hash of the rows decides.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,35 +72,43 @@ def step(role: int, empty: bool) -> np.ndarray:
 STEPS = {(r, e): step(r, e) for r in range(4) for e in (False, True)}
 
 
-def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum((a[:, :, None] + b[None, :, :]).min(axis=1), FAR)
+#: One unit of cost, in which ties are broken by sums of small numbers.
+UNIT = 1 << 64
+IDENTITY = [[0 if s == q else FAR * UNIT for q in range(4)] for s in range(4)]
 
 
-IDENTITY = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
+def ties(turn: int | None, role: str | None, text: str | None) -> tuple[int, ...]:
+    """A small number for each role that a row may take: of equally cheap repairs the one with the least sum is taken, however the rows are dealt."""
+    key = f"{turn}|{role}|{text}".encode("utf-8", "surrogatepass")
+    return tuple(xxhash.xxh32_intdigest(key, q) for q in range(4))
 
 
-def product(turns: list[tuple[int, bool]]) -> np.ndarray:
+def compose(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+    return [[min(min(a[s][k] + b[k][q] for k in range(4)), FAR * UNIT) for q in range(4)] for s in range(4)]
+
+
+def product(turns: list[tuple[int, bool]], broken: list[tuple[int, ...]]) -> list[list[int]]:
     m = IDENTITY
-    for t in turns:
-        m = compose(m, STEPS[t])
+    for t, tie in zip(turns, broken):
+        m = compose(m, [[int(STEPS[t][s, q]) * UNIT + tie[q] for q in range(4)] for s in range(4)])
     return m
 
 
-def solve(turns: list[tuple[int, bool]], entry: int = START, leave: int | None = None) -> list[int]:
+def solve(turns: list[tuple[int, bool]], entry: int = START, leave: int | None = None, broken: list[tuple[int, ...]] | None = None) -> list[int]:
     """The role of each turn on the cheapest way from ``entry`` (to ``leave``, or to a legal end)."""
-    cost, back = [FAR] * 4, []
+    cost, back = [FAR * UNIT] * 4, []
     cost[entry] = 0
-    for t in turns:
-        m, new, came = STEPS[t], [FAR] * 4, [0] * 4
+    for k, t in enumerate(turns):
+        m, new, came, tie = STEPS[t], [FAR * UNIT] * 4, [0] * 4, broken[k] if broken else (0, 0, 0, 0)
         for q in range(1, 4):
             for s in range(4):
-                c = cost[s] + int(m[s, q])
+                c = cost[s] + int(m[s, q]) * UNIT + tie[q]
                 if c < new[q]:
                     new[q], came[q] = c, s
         cost = new
         back.append(came)
     if leave is None:
-        leave = min(range(4), key=lambda s: (cost[s] + END[s], s))
+        leave = min(range(4), key=lambda s: (cost[s] + END[s] * UNIT, s))
     path = [leave]
     for came in reversed(back):
         path.append(came[path[-1]])
@@ -148,6 +157,10 @@ def _segments(batches: Iterator[pa.RecordBatch]):
         yield now, rows
 
 
+def _turns(seg: list[tuple]) -> tuple[list[tuple[int, bool]], list[tuple[int, ...]]]:
+    return [(role_of(r[2]), not r[3]) for r in seg], [ties(*r[1:]) for r in seg]
+
+
 def repair(conversations: DataFrame, partitions: int | None = None) -> DataFrame:
     """conv_id, pos (from 0), turn, role, new_role, action, inserted, cost, rendered; one row per turn."""
     spark = conversations.sparkSession
@@ -160,28 +173,29 @@ def repair(conversations: DataFrame, partitions: int | None = None) -> DataFrame
         part = TaskContext.get().partitionId()
         kept, i = [], -1
         for i, (conv, seg) in enumerate(_segments(batches)):
-            kept = kept[:1] + [(conv, len(seg), product([(role_of(r[2]), not r[3]) for r in seg]).ravel().tolist(), i)]
+            kept = kept[:1] + [(conv, seg, i)]
+        cost = [[str(c) for row in product(*_turns(seg)) for c in row] for _, seg, _ in kept]
         yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part] * len(kept), pa.int32()), "seq": pa.array([k[3] for k in kept], pa.int64()), "conv_id": pa.array([k[0] for k in kept], pa.int64()),
-            "n": pa.array([k[1] for k in kept], pa.int64()), "cost": pa.array([k[2] for k in kept], pa.list_(pa.int64())),
+            "part": pa.array([part] * len(kept), pa.int32()), "seq": pa.array([k[2] for k in kept], pa.int64()), "conv_id": pa.array([k[0] for k in kept], pa.int64()),
+            "n": pa.array([len(k[1]) for k in kept], pa.int64()), "cost": pa.array(cost, pa.list_(pa.string())),
         })
 
-    cuts = rows.mapInArrow(ends, "part int, seq long, conv_id long, n long, cost array<long>").collect()  # two rows a partition at most
+    cuts = rows.mapInArrow(ends, "part int, seq long, conv_id long, n long, cost array<string>").collect()  # two rows a partition at most
     by_conv: dict = {}
     for c in sorted(cuts, key=lambda c: (c["part"], c["seq"])):
-        by_conv.setdefault(c["conv_id"], []).append((c["part"], c["n"], np.array(c["cost"]).reshape(4, 4)))
+        by_conv.setdefault(c["conv_id"], []).append((c["part"], c["n"], [[int(x) for x in c["cost"][4 * k : 4 * k + 4]] for k in range(4)]))
     known: dict = {}
     for conv, segs in by_conv.items():
         if len(segs) == 1:
             continue
-        forward = [np.where(np.arange(4) == START, 0, FAR)]
+        forward = [IDENTITY[START]]
         for _, _, m in segs:
-            forward.append(np.minimum((forward[-1][:, None] + m).min(axis=0), FAR))
-        s = min(range(4), key=lambda k: (forward[-1][k] + END[k], k))
+            forward.append([min(forward[-1][k] + m[k][q] for k in range(4)) for q in range(4)])
+        s = min(range(4), key=lambda k: (forward[-1][k] + END[k] * UNIT, k))
         offset = sum(g[1] for g in segs)
         for i in range(len(segs) - 1, -1, -1):
             part, n_turns, m = segs[i]
-            before = int(np.argmin(forward[i] + m[:, s]))
+            before = min(range(4), key=lambda k: (forward[i][k] + m[k][s], k))
             offset -= n_turns
             known[(part, conv)] = (before, s, offset, i == len(segs) - 1)
             s = before
@@ -191,8 +205,8 @@ def repair(conversations: DataFrame, partitions: int | None = None) -> DataFrame
         part, at = TaskContext.get().partitionId(), sent.value
         for conv, seg in _segments(batches):
             entry, leave, offset, last = at.get((part, conv), (START, None, 0, True))
-            turns = [(role_of(r[2]), not r[3]) for r in seg]
-            told = render(turns, [r[3] or "" for r in seg], solve(turns, entry, leave), entry, last)
+            turns, broken = _turns(seg)
+            told = render(turns, [r[3] or "" for r in seg], solve(turns, entry, leave, broken), entry, last)
             yield pa.RecordBatch.from_pydict({
                 "conv_id": pa.array([r[0] for r in seg], pa.int64()), "pos": pa.array(range(offset, offset + len(seg)), pa.int64()), "turn": pa.array([r[1] for r in seg], pa.int64()), "role": pa.array([r[2] for r in seg], pa.string()),
                 "new_role": pa.array([t["new_role"] for t in told], pa.string()), "action": pa.array([t["action"] for t in told], pa.string()), "inserted": pa.array([t["inserted"] for t in told], pa.int64()),
