@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 N_QUANTILES = 1024
 TAILS = {"1%": (0.01, 0.99), "0.1%": (0.001, 0.999)}
 #: Bins that a group's range is cut into.
-BINS = 1024
+BINS = 256
 
 
 def grid(n: int = N_QUANTILES) -> list[float]:
@@ -34,7 +34,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[f
     start = binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
     within = Window.partitionBy(*by, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = binned.withColumn("_c", F.sum("_n").over(within))
-    wanted = edge.select(*by, "_all", F.posexplode(F.array(*[F.lit(float(q)) for q in qs])).alias("k", "_q"))
+    asked = df.sparkSession.createDataFrame([(k, float(q)) for k, q in enumerate(qs)], "k int, _q double")
+    wanted = edge.select(*by, "_all").crossJoin(F.broadcast(asked))  # as many rows as quantiles
     at = F.col("_q") * (F.col("_all") - 1)
     wanted = wanted.select(*by, "k", at.alias("_at"), F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("_r"))
     placed = (wanted.join(start, by) if by else wanted.crossJoin(start)).where("_r >= _before and _r < _before + _m")
