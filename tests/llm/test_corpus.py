@@ -98,6 +98,85 @@ def test_near_duplicates_edges(spark):
     assert simhash.keep_one(twice).count() == 1
 
 
+def plain_sketch(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    grams = {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {" ".join(w)} if w else set()
+    h = [xxhash.xxh3_128_intdigest(g.encode()) << 64 | xxhash.xxh64_intdigest(g.encode()) for g in grams]
+    return sum(1 << b for b in range(192) if (c := 2 * sum(x >> b & 1 for x in h)) > len(h) or (c == len(h) and min(h) >> b & 1)) if h else 0
+
+
+def plain_similar(ids, sketches):
+    """Classes of sketches that differ in at most 4 bits of some 32 and at most 34 of all."""
+
+    class Pair(int):
+        def __xor__(self, other):
+            d = int.__xor__(self, other)
+            return d if any((d >> s & 0xFFFFFFFF).bit_count() <= 4 for s in range(0, 192, 32)) else (1 << 192) - 1
+
+    return plain_components(ids, [Pair(x) for x in sketches], 34)
+
+
+def varied(rng, n, words, changes):
+    """n texts, each of which changes some words of the one base text."""
+    base = [f"w{i}" for i in rng.integers(0, 5000, words)]
+    for c in changes[:n]:
+        t = list(base)
+        for i in rng.choice(words, c, replace=False):
+            t[i] = f"v{rng.integers(0, 10**6)}"
+        yield " ".join(t)
+
+
+@pytest.mark.parametrize("limit", [1 << 21, 5000])
+def test_similar_texts_against_brute_force(spark, sf_dir, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "VARIANTS_AT_ONCE", limit)
+    rng = np.random.default_rng(7)
+    texts = [t for g in range(8) for t in varied(rng, 12, 150, [g, 0, 0, 1, 2, 3, 4, 5, 6, 8, 12, 40])]
+    texts += [r["text"] for r in table(spark, sf_dir, "documents").collect()] + [t for t in ODD if not t or len(t) < 5000]
+    d = docs(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(d).collect()}
+    want = plain_similar(range(len(texts)), [plain_sketch(t) for t in texts])
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_crowded_variants_lose_no_link():
+    """Chains, big groups and strangers under one variant, against every pair."""
+    rng = np.random.default_rng(11)
+    for trial in range(30):
+        n = int(rng.integers(2, 60))
+        wide = rng.integers(0, 1 << 63, (n, 3)).astype(np.uint64)
+        for i in range(1, n):
+            if rng.random() < 0.8:
+                wide[i] = wide[int(rng.integers(0, i))]
+                for bit in rng.integers(0, 192, int(rng.integers(0, 45))):
+                    wide[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        place = np.repeat(np.arange(3), n)
+        own = np.tile(np.arange(n), 3)
+        keep = rng.random(3 * n) < 0.7
+        place, own = place[keep], own[keep]
+        pairs = [(x, y) for p in range(3) for x in own[place == p] for y in own[place == p] if x < y and simhash._apart(wide, np.array([x]), np.array([y]))[0] <= 34]
+        a, b = (np.array(v, dtype=np.int64) for v in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        got = simhash._verified(wide, place, own, 34)
+        assert (simhash.roots(n, *got) == simhash.roots(n, a, b)).all()
+
+
+def test_similarity_of_four_fifths_is_found_and_less_is_left(spark):
+    """One changed word of 100 to 300 changes five shingles; pairs in one class by their Jaccard similarity."""
+    rng = np.random.default_rng(5)
+    texts, near = [], []
+    for g in range(200):
+        words = int(rng.integers(100, 300))
+        c = int(rng.integers(1, max(2, words // 45)))
+        texts += varied(rng, 2, words, [0, c])
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs(spark, texts)).collect()}
+    for g in range(0, len(texts), 2):
+        j = len(shingles[g] & shingles[g + 1]) / len(shingles[g] | shingles[g + 1])
+        near.append((j, got[g] == got[g + 1]))
+    found = [f for j, f in near if j >= 0.8]
+    assert len(found) > 100 and sum(found) / len(found) > 0.95
+    assert all(got[g] in (g, g - 1) for g in range(1, len(texts)))
+
+
 # Decontamination
 
 
