@@ -177,6 +177,29 @@ def test_similarity_of_four_fifths_is_found_and_less_is_left(spark):
     assert all(got[g] in (g, g - 1) for g in range(1, len(texts)))
 
 
+def test_keep_one_goes_by_exact_similarity(spark):
+    """Short texts, pairs at 0.8 and just below, and a chain, against every pair's Jaccard similarity."""
+    rng = np.random.default_rng(13)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**7, n)]
+    texts = []
+    for _ in range(40):
+        a = word(8)
+        texts += [" ".join(a), " ".join([*a, "more"])]  # 4 shingles of 5
+        b = word(44)
+        texts += [" ".join(b), " ".join([*b, *word(10)])]  # 40 of 50
+        texts += [" ".join(b[:30] + word(1)), " ".join(word(3) + b[:22])]  # below
+        c = word(84)
+        texts += [" ".join(c[i : i + 60]) for i in (0, 5, 10, 15)]  # a chain
+    texts += [None, "", "One  two", "one two"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])) and label[a] != label[b]:
+            old, new = label[b], label[a]
+            label = [new if x == old else x for x in label]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(spark, texts)).collect()) == [i for i, x in enumerate(label) if i == label.index(x)]
+
+
 # Decontamination
 
 

@@ -13,6 +13,9 @@ Rows without an id take part; a component whose rows all lack ids has a null com
 ``near_duplicates`` links short fingerprints at few bits. ``similar`` is for a similarity of shingle sets: at 0.8
 two texts differ in 15 of 100 bits, more than one ball can span, so a sketch of 192 bits is cut into six keys of 32
 bits with a ball each, and texts that meet under any key are verified on the whole sketch.
+
+Sketches only estimate the similarity. ``keep_one`` computes it: texts that share a min-hash key are compared by their
+whole shingle sets, and linked if the Jaccard similarity is 0.8 or more.
 """
 
 from __future__ import annotations
@@ -325,12 +328,157 @@ def similar_classes(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS)
     return all_.join(rooted.join(least, "root").select(*cols, "component_id"), cols).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group of similar texts.
+#: Jaccard similarity of shingle sets from which texts are near copies.
+SIMILAR = 0.8
+#: Candidates share one of 32 keys of 4 minima: a pair of similarity 0.8 shares none with probability (1 - 0.8 ** 4) ** 32,
+#: 5 in 100 million, at any number of shingles. Candidates are only compared, never linked, by their keys.
+KEYS, MINIMA = 32, 4
+_RNG = np.random.default_rng(20)
+_TURN, _ODD = (_RNG.integers(0, 1 << 63, KEYS * MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
+#: Rounds of stars before all open pairs are compared; pairs a member from which another round of stars is cheaper.
+STAR_ROUNDS, OPEN_PAIRS = 6, 4
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles; a text of fewer words is one shingle, without words it has none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(tokens), xxhash.xxh64_digest
+    if len(tokens) <= words:
+        return np.frombuffer(digest(joined), dtype=np.uint64)
+    ends = list(accumulate((len(t) + 1 for t in tokens), initial=0))
+    return np.unique(np.frombuffer(b"".join([digest(joined[a : b - 1]) for a, b in zip(ends, ends[words:])]), dtype=np.uint64))
+
+
+def min_keys(shingles: np.ndarray) -> list[int]:
+    """The keys under which a set meets its candidates; none for the empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(KEYS * MINIMA, np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), 512):
+        least = np.minimum(least, ((shingles[i : i + 512, None] ^ _TURN) * _ODD).min(axis=0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(KEYS, MINIMA))]
+
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    """docs with h and n, a row's key; equal rows share it."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id", "text")).withColumn("n", F.coalesce(F.length("text"), F.lit(-1)).cast("long"))
+
+
+def min_hashed(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, h, n, d0, d1 (digest of the shingle set), keys."""
+
+    def make():
+        def run(cols):
+            out = {"doc_id": cols["doc_id"], "h": cols["h"], "n": cols["n"], "d0": [], "d1": [], "keys": []}
+            for text in cols["text"]:
+                got = shingle_set(text, words)
+                d0, d1 = np.frombuffer(xxhash.xxh3_128_digest(got.tobytes()), dtype=np.int64).tolist()
+                out["d0"].append(d0)
+                out["d1"].append(d1)
+                out["keys"].append(min_keys(got))
+            return out
+
+        return run
+
+    return map_batches(_row_key(docs), make, "doc_id long, h long, n long, d0 long, d1 long, keys array<long>")
+
+
+def _sets(docs: DataFrame, need: DataFrame, words: int, few: int = 200_000) -> DataFrame:
+    """node, shingles (bytes) of the nodes in need(node, h, n), from one row's text each."""
+
+    def make():
+        def run(cols):
+            return {"node": cols["node"], "shingles": [shingle_set(t, words).tobytes() for t in cols["text"]]}
+
+        return run
+
+    small = need.count() <= few  # else both sides are shuffled
+    rows = _row_key(docs).join(F.broadcast(need) if small else need, ["h", "n"]).select("node", "text")
+    return map_batches(rows, make, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets' Jaccard similarity is at least ``least``.
+
+    b may be in many pairs: its set is sent once for each 512 of them.
+    """
+
+    def make():
+        def run(cols):
+            out = {"a": [], "b": []}
+            for a, b, x, y in zip(cols["a"], cols["b"], cols["x"], cols["y"]):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                if min(len(x), len(y)) + 1e-9 < least * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both + 1e-9 >= least * (len(x) + len(y) - both):
+                    out["a"].append(a)
+                    out["b"].append(b)
+            return out
+
+        return run
+
+    salts = pairs.groupBy(F.col("b").alias("node")).agg(F.ceil(F.count("*") / 512).cast("int").alias("salts"))
+    salts = stored(salts)
+    left = pairs.join(salts.withColumnRenamed("node", "b"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).select("a", "b", "salt")
+    left = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    right = sets.join(salts, "node").select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return map_batches(left.join(right, ["b", "salt"]).select("a", "b", "x", "y"), make, "a long, b long")
+
+
+def alike_tree(docs: DataFrame, distinct: DataFrame, words: int = 5, least: float = SIMILAR) -> DataFrame:
+    """node, root: components of distinct(node, h, n, keys) under a similarity of ``least`` or more.
+
+    The members of a key are compared with one of them; then, round by round, those not yet connected with another one;
+    at last all pairs still open. So a group of near copies costs a few comparisons a member, and no pair is left out.
+    """
+    met = distinct.select("node", F.explode("keys").alias("key"))
+    shared = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    met = stored(met.join(shared, "key").select("key", "node"))
+    need = met.select("node").distinct().join(distinct.select("node", "h", "n"), "node")
+    sets = stored(_sets(docs, stored(need), words))
+    empty = met.sparkSession.createDataFrame([], "a long, b long")
+    edges, done, tree = empty, empty, components(empty)
+    for turn in range(STAR_ROUNDS + 1):
+        now = met.join(tree, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        open_ = now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        size = open_.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if not size[1]:
+            break
+        last = turn == STAR_ROUNDS or size[0] <= OPEN_PAIRS * size[1]
+        now = now.join(open_.select("key"), "key")
+        other = now.select("key", F.col("node").alias("b"), F.col("root").alias("of")) if last else now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("b"), F.col("root").alias("of"))).alias("c")).select("key", "c.b", "c.of")
+        pairs = now.join(other, "key").where("root <> of" if not last else "root <> of and node < b").select(F.least("node", "b").alias("lo"), F.greatest("node", "b").alias("hi")).distinct()
+        # the centre of a star has the role of b, which may be in many pairs
+        pairs = stored(pairs.select(F.col("hi").alias("a"), F.col("lo").alias("b")).join(done, ["a", "b"], "left_anti"))
+        edges = stored(edges.union(_alike(pairs, sets, least)))
+        tree = stored(components(edges))
+        if last:
+            break
+        done = stored(done.union(pairs))
+    return tree
+
+
+def alike_classes(docs: DataFrame, words: int = 5, least: float = SIMILAR) -> DataFrame:
+    """doc_id, h, n (a row's key), component_id (the smallest doc_id reachable) for each row of docs(doc_id, text)."""
+    all_ = stored(min_hashed(docs, words))
+    row = F.struct("h", "n")
+    distinct = all_.groupBy("d0", "d1").agg(F.min("doc_id").alias("first_id"), F.min(row).alias("row"), F.first("keys").alias("keys"))
+    distinct = stored(distinct.select("d0", "d1", "first_id", "row.h", "row.n", "keys", F.monotonically_increasing_id().alias("node")))
+    tree = alike_tree(docs, distinct, words, least)
+    rooted = distinct.select("d0", "d1", "first_id", "node").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return all_.drop("keys").join(rooted.join(groups, "root").select("d0", "d1", "component_id"), ["d0", "d1"]).select("doc_id", "h", "n", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILAR) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group of texts with a shingle similarity of ``least`` or more.
 
     Rows without an id stay, as no group can name them. Of rows repeated with id and text one stays.
     """
-    got = stored(similar_classes(docs.select("doc_id", "text"), words, radius))
+    got = stored(alike_classes(docs.select("doc_id", "text"), words, least))
     gone = got.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
     if got.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
