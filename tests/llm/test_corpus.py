@@ -331,6 +331,21 @@ def test_patterns_discover(spark):
     assert masked[31]["text"] == texts[31]
 
 
+def test_believed_instances_induce_patterns(spark):
+    """A context no seed is in, reached through believed ones; many unknown; shapes without a digit; long tokens."""
+    texts = [f"dial +1 555 {i} 4567 soon" for i in range(100, 200)]
+    texts += [f"dial 555-0{i}-777 today" for i in range(100, 130)]  # 30 unseen under 100 seeds
+    texts += [f"fax 555-0{i}-777 today" for i in range(100, 130)]  # the same in another context
+    texts += ["fax 444-0333-222 please"]  # reached in the second round
+    texts += [f"write user{i}@mail.example.org please" for i in range(100, 130)] + ["write name[at]example.com please", f"write {'n' * 50}(at)example.com please"]
+    texts += [f"page +1 666 {i} 4567" for i in range(100, 105)] + [f"page {i}" for i in range(20)] + ["page 444-0333-221"]  # mostly other numbers
+    got = {t: r["spans"] for t, r in zip(texts, sorted(pii.extract(docs(spark, texts)).collect(), key=lambda r: r["doc_id"]))}
+    assert all(got[f"dial 555-0{i}-777 today"] == "phone:5:17" for i in range(100, 130))
+    assert got["fax 444-0333-222 please"] == "phone:4:16"
+    assert got["write name[at]example.com please"] == "email:6:25" and got[f"write {'n' * 50}(at)example.com please"] == "email:6:71"
+    assert got["page 444-0333-221"] == "" and got["page 7"] == ""
+
+
 def test_personal_data_edges(spark):
     d = docs(spark, PII_TEXTS)
     got = {r["doc_id"]: r for r in pii.extract(d.unionByName(d)).collect()}

@@ -1,9 +1,10 @@
 """Personal data: base patterns, then bootstrapped contextual extraction.
 
-Base matches are seed entities. Each seed, and each other token with a digit or @, meets lexical patterns:
+Base matches are seed entities. Each seed, and each other token with a mark of some shape, meets lexical patterns:
 the word before it, the word after it, and both. Spark scores the graph of patterns and instances in rounds:
-a pattern's score is the share of its distinct instances that are seeds or already believed, with one
-instance against it; an unknown token of fitting shape is believed as much as its best pattern. Tokens
+for a pattern speak its distinct seeds and the instances believed in the round before, against it the other
+tokens it meets that cannot be of the kind, and one more; unknown tokens of fitting shape say nothing. An unknown
+token of fitting shape is believed as much as its best pattern, and then supports its other patterns. Tokens
 believed at the end are further spans. Null texts count as empty; equal rows get equal spans.
 """
 
@@ -25,12 +26,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Words of a context longer than this, and tokens, are not lexical.
+#: Words of a context longer than this are not lexical.
 WORD_LENGTH = 40
-#: Distinct seeds that a pattern needs; score from which patterns and instances are believed; rounds.
+#: Distinct seeds and believed instances that a pattern needs; score from which patterns and instances are believed; rounds.
 SUPPORT, BELIEVED, ROUNDS = 3, 0.8, 3
 
-_MARKED = re.compile(r"[0-9@]\S*")
+#: What a token of any shape holds.
+_MARKED = re.compile(r"(?:[0-9@]|[\[(]at[\])]|[A-Fa-f]:[A-Fa-f:])\S*")
 _SHAPES = {
     "email": re.compile(r"[\w.+-]+(?:@|\[at\]|\(at\))[\w.\[\]()-]+"),
     "ip": re.compile(r"(?:[0-9A-Fa-f]{1,4}:){2,7}:?[0-9A-Fa-f]{0,4}|[0-9]{1,3}(?:[,_-][0-9]{1,3}){3}"),
@@ -84,15 +86,13 @@ def _context(text: str, start: int, end: int) -> list[str]:
 
 
 def tokens(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Tokens with a digit or @ that touch no base span, once for each kind whose shape fits."""
+    """Marked tokens that touch no base span, once for each kind whose shape fits, or once with kind ""."""
     out, floor, busy, at = [], 0, sorted((a, b) for _, a, b in taken), 0
     for m in _MARKED.finditer(text):
         start, end = m.start(), m.end()
-        while start > floor and m.start() - start <= WORD_LENGTH and not text[start - 1].isspace():
+        while start > floor and not text[start - 1].isspace():
             start -= 1
         floor = end
-        if end - start > WORD_LENGTH:
-            continue
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE:
@@ -101,7 +101,8 @@ def tokens(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int,
             at += 1
         if start == end or at < len(busy) and busy[at][0] < end:
             continue
-        out += [(kind, start, end) for kind, shape in _SHAPES.items() if shape.fullmatch(text, start, end)]
+        fits = [kind for kind, shape in _SHAPES.items() if shape.fullmatch(text, start, end)]
+        out += [(kind, start, end) for kind in fits or ("",)]
     return out
 
 
@@ -135,16 +136,19 @@ def scan(docs: DataFrame) -> DataFrame:
 def believed(scanned: DataFrame, support: int = SUPPORT, least: float = BELIEVED, rounds: int = ROUNDS) -> DataFrame:
     """kind, value, belief of the unknown instances that the rounds come to believe."""
     edges = scanned.select(F.explode("met").alias("m")).select("m.kind", "m.value", "m.known", F.explode("m.patterns").alias("pattern"))
-    edges = edges.groupBy("kind", "pattern", "value").agg(F.max("known").alias("known"))
-    edges = stored(edges)
-    unknown = edges.where("not known").select("kind", "pattern", "value")
-    seeds = stored(edges.where("known").groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support))
-    met = stored(unknown.join(seeds.select("kind", "pattern"), ["kind", "pattern"], "left_semi"))
+    edges = stored(edges.groupBy("kind", "pattern", "value").agg(F.max("known").alias("known")))
+    of_kind = edges.where("kind <> ''").groupBy("kind", "pattern").agg(F.count_if("known").alias("seeds"), F.count("*").alias("fitting")).where(F.col("fitting") >= support)
+    every = edges.groupBy("pattern", "value").agg(F.lit(1).alias("one")).groupBy("pattern").agg(F.count("*").alias("every"))
+    patterns = stored(of_kind.join(every, "pattern").select("kind", "pattern", "seeds", (F.col("every") - F.col("fitting")).alias("against")))
+    met = stored(edges.where("not known and kind <> ''").select("kind", "pattern", "value").join(patterns.select("kind", "pattern"), ["kind", "pattern"], "left_semi"))
     belief = None
     for _ in range(rounds):
-        now = met.withColumn("belief", F.lit(0.0)) if belief is None else met.join(belief, ["kind", "value"], "left").fillna(0.0, ["belief"])
-        patterns = now.groupBy("kind", "pattern").agg(F.count("*").alias("unknown"), F.sum("belief").alias("gained")).join(seeds, ["kind", "pattern"])
-        scored = patterns.withColumn("score", (F.col("seeds") + F.col("gained")) / (F.col("seeds") + F.col("unknown") + 1)).where(F.col("score") >= least)
+        now = patterns.withColumns({"more": F.lit(0), "gained": F.lit(0.0)})
+        if belief is not None:
+            got = met.join(belief, ["kind", "value"]).groupBy("kind", "pattern").agg(F.count("*").alias("more"), F.sum("belief").alias("gained"))
+            now = patterns.join(got, ["kind", "pattern"], "left").fillna(0, ["more", "gained"])
+        speaks = F.col("seeds") + F.col("gained")
+        scored = now.where(F.col("seeds") + F.col("more") >= support).withColumn("score", speaks / (speaks + F.col("against") + 1)).where(F.col("score") >= least)
         belief = stored(met.join(scored.select("kind", "pattern", "score"), ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("score").alias("belief")))
     return belief
 
