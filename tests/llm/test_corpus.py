@@ -300,6 +300,16 @@ def test_ownership(spark):
     assert secrets.report(docs(spark, [])).count() == 0
 
 
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    key = lambda c, gap="\n": f"-----BEGIN RSA PRIVATE KEY-----{gap}{c * 64}{gap}{c * 30}=={gap}-----END RSA PRIVATE KEY-----"
+    open_key = "-----BEGIN PRIVATE KEY-----\n" + "Q" * 64 + "\n" + "R" * 40
+    texts = [f"mine {key(c)} it is" for c in "ABC"] + [key("S"), key("S", "\\n"), key("S", " "), open_key + "\nand more text", "-----BEGIN PRIVATE KEY----- alone"]
+    got = [r for r in sorted(secrets.report(docs(spark, texts)).collect(), key=lambda r: r["doc_id"])]
+    assert [(r["n_live"], r["n_example"]) for r in got] == [(1, 0)] * 3 + [(0, 1)] * 3 + [(1, 0)] * 2
+    assert [r["spans"] for r in got[:1] + got[6:]] == [f"pem:5:{5 + len(key('A'))}", f"pem:0:{len(open_key)}", "pem:0:27"]
+    assert [v for _, _, v in secrets.pem_keys(key("A") + key("B", " "))] == ["A" * 94 + "==", "B" * 94 + "=="]
+
+
 # Personal data
 
 PII_TEXTS = [*ODD, "a@b.c@d.ef x.y+z@mail-1.example.com. @no.local u@localhost", "1.2.3.4.5.6.7.8 999.1.1.1 01.002.0003.4 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1112 0 0 0 0 0 0 0 0 0 0 0 0", "+1 (555) 123-4567 +12 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7", "é +49 30 1234567é 10.0.0.1", "1" * 50_000 + "." + "a" * 50_000 + "@"]

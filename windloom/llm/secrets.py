@@ -24,11 +24,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 BASE = ("assign", "access", "hex")
 # Kinds that the method adds.
 EXTRA_PATTERNS = {
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    "pem": re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     "prefixed": re.compile(r"(?:ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_)[A-Za-z0-9_-]{16,}"),
 }
 KINDS = (*BASE, *EXTRA_PATTERNS)
+# A key's body where no END line closes it: base64 lines, the first of 16 characters or more; breaks may be escaped.
+_BREAK = re.compile(r"(?:\s|\\[nrt])+")
+_BODY = re.compile(r"(?:\s|\\[nrt])*[A-Za-z0-9+/=]{16,}+(?:(?:\s|\\[nrt])+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nrt])+[A-Za-z0-9+/]*={1,2})?")
 #: Distinct owners from which a value is an example.
 SHARED_BY = 3
 #: Bits a character, and different characters, from which a value looks random.
@@ -40,6 +43,24 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def pem_keys(text: str) -> list[tuple[int, int, str]]:
+    """Start, stop and value of each private key: from BEGIN to its END line, else with the base64 that follows.
+
+    The value is the body without breaks, so that a key is the same however it is wrapped; the header where there is none.
+    """
+    begins, out = list(EXTRA_PATTERNS["pem"].finditer(text)), []
+    for m, after in zip(begins, [*(b.start() for b in begins[1:]), len(text)]):
+        end = f"-----END {m[1]}-----"
+        at = text.find(end, m.end(), after)
+        if at >= 0:
+            stop, body = at + len(end), text[m.end() : at]
+        else:
+            follows = _BODY.match(text, m.end(), after)
+            stop, body = follows.end() if follows else m.end(), follows[0] if follows else ""
+        out.append((m.start(), stop, _BREAK.sub("", body) or m[0]))
+    return out
+
+
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
     """Base spans, and all spans with the secret value."""
     text = text or ""
@@ -58,8 +79,9 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     for m in HEX.finditer(text):
         base.append(("hex", m.start(), m.end()))
         every.append(("hex", m.start(), m.end(), m[0]))
-    for kind, pattern in EXTRA_PATTERNS.items():
-        for m in pattern.finditer(text):
+    every += [("pem", *key) for key in pem_keys(text)] if "-----BEGIN " in text else []
+    for kind in ("jwt", "prefixed"):
+        for m in EXTRA_PATTERNS[kind].finditer(text):
             every.append((kind, m.start(), m.end(), m[0]))
     return base, every
 
@@ -81,7 +103,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
                 out["n_hex"].append(n["hex"])
                 out["base_sha256"].append(sha256(spans_text(base, KINDS)))
                 out["spans"].append(spans_text([e[:3] for e in every], KINDS))
-                out["found"].append([{"value": xxhash.xxh64_intdigest(v.encode()) - (1 << 63), "random": k == "pem" or entropy(v) >= ENTROPY and len(set(v)) >= DIFFERENT, "kind": k, "start": a, "stop": b} for k, a, b, v in every])
+                out["found"].append([{"value": xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63), "random": k == "pem" or entropy(v) >= ENTROPY and len(set(v)) >= DIFFERENT, "kind": k, "start": a, "stop": b} for k, a, b, v in every])
             return {"doc_id": cols["doc_id"], "owner": cols["owner"], "repo": cols["repo"]} | out
 
         return run
