@@ -116,7 +116,7 @@ def tracer_dispersion(spark, d):
 
 @query()
 def advected_field(spark, d):
-    return rounded(temporal.advected(slices(spark, d).where("s < 8"), ["s"], 4, 8, 8, (10.0, -5.0), 28000.0, 3600.0))
+    return rounded(temporal.advected(slices(spark, d), ["s"], 4, 8, 8, (10.0, -5.0), 28000.0, 3600.0))
 
 
 @query(f"with {HOURLY_SQL} select series, count(*) as n, round(avg(u), 6) as mean from hourly group by series")
@@ -186,8 +186,9 @@ def consensus_chart_field(spark, d):
 
 @query()
 def periodic_replay(spark, d):
-    base = cells(spark, d).where("s < 4").select(F.col("s").cast("int").alias("t"), "y", "x", "u", "v")
-    return rounded(artifact.periodic(base, lazyfield.box(spark, -4, 12, -4, 12, -1, 6), (4, 8, 8)))
+    base = cells(spark, d).select(F.col("s").cast("int").alias("t"), "y", "x", "u", "v")
+    n = table(spark, d, "embeddings").count() // 2
+    return rounded(artifact.periodic(base, lazyfield.box(spark, -4, 12, -4, 12, -1, n + 2), (n, 8, 8)))
 
 
 @query()
