@@ -53,3 +53,13 @@ def test_whole_table(spark, sf_dir, name, key):
     own = got.where("frame = 0" if name == "advected_field" else "y between 0 and 7 and x between 0 and 7").selectExpr(f"{key} as s", "y", "x", "u as u1")
     both = c.join(own, ["s", "y", "x"])
     assert both.count() == c.count() and both.where("y < 7 and x < 7 and abs(u - u1) > 1e-4").count() == 0  # the last line is read a little before the edge
+
+
+def test_patch_distance_has_the_operator_s_constants(spark, sf_dir):
+    from windloom.operators import ensemble
+    from windloom.plans.base import rounded
+    from windloom.sources.views import cells
+
+    c = cells(spark, sf_dir)
+    want = rounded(ensemble.multiscale_patch_distance(c.where("s % 2 = 0"), c.where("s % 2 = 1"), 8, (1, 2, 4), count=2048, projections=64)).collect()
+    assert QUERIES["patch_distance"](spark, sf_dir).collect() == want

@@ -72,7 +72,7 @@ def white_noise(spark, d):
 @query()
 def patch_distance(spark, d):
     c = cells(spark, d)
-    return rounded(ensemble.multiscale_patch_distance(c.where("s % 2 = 0"), c.where("s % 2 = 1"), 8, (1,), count=256, projections=16))
+    return rounded(ensemble.multiscale_patch_distance(c.where("s % 2 = 0"), c.where("s % 2 = 1"), 8))
 
 
 @query()
