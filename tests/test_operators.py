@@ -224,3 +224,12 @@ def test_npz_cache(spark, tmp_path):
     np.savez(tmp_path / "bad.npz", winds=bad)
     with pytest.raises(Exception, match="no finite cache"):
         artifact.cache_from_npz(spark, str(tmp_path / "bad.npz")).collect()
+
+
+def test_suite_has_dispersion(spark):
+    from windloom.operators import boards
+
+    cells = plane_cells(spark, lambda k, y, x: (0.1 * x + k, 0.1 * y), n=8, s=8)
+    track = lambda u: spark.createDataFrame([(g, f, 0, [u] * 64, [0.0] * 64) for g in range(2) for f in range(4 - g)], "segment int, frame int, level int, u array<double>, v array<double>")
+    got = {r["metric"]: r["value"] for r in boards.run_suite(cells, cells, tracks=(track(2.0), track(1.0))).collect()}
+    assert got["disp log-MSD RMSE"] == pytest.approx(np.log(4.0), abs=1e-6) and got["final spread ratio"] == pytest.approx(1.0)

@@ -63,3 +63,8 @@ def test_patch_distance_has_the_operator_s_constants(spark, sf_dir):
     c = cells(spark, sf_dir)
     want = rounded(ensemble.multiscale_patch_distance(c.where("s % 2 = 0"), c.where("s % 2 = 1"), 8, (1, 2, 4), count=2048, projections=64)).collect()
     assert QUERIES["patch_distance"](spark, sf_dir).collect() == want
+
+
+def test_suite_board_has_values(spark, sf_dir):
+    got = {r["metric"]: r["value"] for r in QUERIES["suite_board"](spark, sf_dir).collect()}
+    assert not [m for m in ("W1 cond (m/s)", "SR_time", "disp log-MSD RMSE", "final spread ratio") if math.isnan(got[m])]

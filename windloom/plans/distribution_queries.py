@@ -235,7 +235,11 @@ def suite_board(spark, d):
     from windloom.sources.views import slices
 
     c, p = cells(spark, d), slices(spark, d)
-    return rounded(boards.run_suite(c.where("s % 2 = 0"), c.where("s % 2 = 1"), planes=(p.where("s % 2 = 0"), p.where("s % 2 = 1"))))
+    frames = lambda f: f.withColumns({"segment": F.floor(F.col("s") / 16), "frame": (F.floor(F.col("s") / 2) % 8).cast("int")})
+    halves = lambda f: (f.where("s % 2 = 0"), f.where("s % 2 = 1"))
+    seeds = halves(c.withColumn("month", F.floor(F.col("s") / 2) % 4))
+    tracks = halves(frames(p).withColumn("level", F.lit(0)))  # a segment is one track, whatever its planes' labels
+    return rounded(boards.run_suite(*halves(c), planes=halves(p), seeds=(*seeds, ["month"]), series=halves(frames(c)), tracks=tracks, points=("y", "x")))
 
 
 @query()
