@@ -96,24 +96,29 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3] and "component_id" in kept.columns
     twice = docs(spark, ["a b c"]).unionByName(docs(spark, ["a b c"]))
     assert simhash.keep_one(twice).count() == 1
-
-
-def plain_sketch(text, k=5):
-    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    grams = {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {" ".join(w)} if w else set()
-    h = [xxhash.xxh3_128_intdigest(g.encode()) << 64 | xxhash.xxh64_intdigest(g.encode()) for g in grams]
-    return sum(1 << b for b in range(192) if (c := 2 * sum(x >> b & 1 for x in h)) > len(h) or (c == len(h) and min(h) >> b & 1)) if h else 0
-
-
-def plain_similar(ids, sketches):
-    """Classes of sketches that differ in at most 4 bits of some 32 and at most 34 of all."""
-
-    class Pair(int):
-        def __xor__(self, other):
-            d = int.__xor__(self, other)
-            return d if any((d >> s & 0xFFFFFFFF).bit_count() <= 4 for s in range(0, 192, 32)) else (1 << 192) - 1
-
-    return plain_components(ids, [Pair(x) for x in sketches], 34)
+    two = docs(spark, ["a b c d e f", "x y z"]).unionByName(docs(spark, ["a b c d e f", "p q r s"], 1))  # id 1 has two texts
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(two).collect()) == [(0, "a b c d e f"), (1, "x y z"), (2, "p q r s")]
+    assert simhash.keep_one(docs(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs(spark, ["a"]), radius=3)
+
+
+def plain_alike(ids, texts, k=5):
+    """The smallest id of each text's class: shingle sets of a Jaccard similarity of 0.8 or more, linked, pair by pair."""
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if (w := re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))) else set() for t in texts]
+    owners, label = {}, list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for x in s or {None}:
+            owners.setdefault(x, []).append(i)
+    near = {(a, b) for o in owners.values() for a, b in itertools.combinations(o, 2)}
+    for a, b in near:
+        if (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])) and label[a] != label[b]:
+            old, new = label[b], label[a]
+            label = [new if x == old else x for x in label]
+    least = {}
+    for i, g in zip(ids, label):
+        least[g] = min(least.get(g, i), i)
+    return [least[g] for g in label]
 
 
 def varied(rng, n, words, changes):
@@ -126,37 +131,40 @@ def varied(rng, n, words, changes):
         yield " ".join(t)
 
 
-@pytest.mark.parametrize("limit", [1 << 21, 5000])
-def test_similar_texts_against_brute_force(spark, sf_dir, monkeypatch, limit):
+@pytest.mark.parametrize("limit, rows", [(1 << 21, 1 << 19), (5000, 1000)])
+def test_alike_texts_against_brute_force(spark, sf_dir, monkeypatch, limit, rows):
+    """Groups of near copies, the given documents and odd texts; also with blocks of few rows and few variants at once."""
     monkeypatch.setattr(simhash, "VARIANTS_AT_ONCE", limit)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
     rng = np.random.default_rng(7)
     texts = [t for g in range(8) for t in varied(rng, 12, 150, [g, 0, 0, 1, 2, 3, 4, 5, 6, 8, 12, 40])]
     texts += [r["text"] for r in table(spark, sf_dir, "documents").collect()] + [t for t in ODD if not t or len(t) < 5000]
-    d = docs(spark, texts)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(d).collect()}
-    want = plain_similar(range(len(texts)), [plain_sketch(t) for t in texts])
-    assert [got[i] for i in range(len(texts))] == want
-
-
-def test_crowded_variants_lose_no_link():
-    """Chains, big groups and strangers under one variant, against every pair."""
-    rng = np.random.default_rng(11)
-    for trial in range(30):
-        n = int(rng.integers(2, 60))
-        wide = rng.integers(0, 1 << 63, (n, 3)).astype(np.uint64)
-        for i in range(1, n):
-            if rng.random() < 0.8:
-                wide[i] = wide[int(rng.integers(0, i))]
-                for bit in rng.integers(0, 192, int(rng.integers(0, 45))):
-                    wide[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        place = np.repeat(np.arange(3), n)
-        own = np.tile(np.arange(n), 3)
-        keep = rng.random(3 * n) < 0.7
-        place, own = place[keep], own[keep]
-        pairs = [(x, y) for p in range(3) for x in own[place == p] for y in own[place == p] if x < y and simhash._apart(wide, np.array([x]), np.array([y]))[0] <= 34]
-        a, b = (np.array(v, dtype=np.int64) for v in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-        got = simhash._verified(wide, place, own, 34)
-        assert (simhash.roots(n, *got) == simhash.roots(n, a, b)).all()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_alike(range(len(texts)), texts)
+
+
+def test_a_crowd_of_near_copies(spark, monkeypatch):
+    """Many texts near one another, some linked and some just not: rounds and cells lose no link."""
+    monkeypatch.setattr(simhash, "CELL", 8)
+    monkeypatch.setattr(simhash, "HOT_SHARE", 10)
+    rng = np.random.default_rng(17)
+    texts = list(varied(rng, 160, 130, [int(c) for c in rng.integers(0, 6, 160)])) + ["a b c d e f g"] * 30
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_classes(docs(spark, texts)).collect()}
+    want = plain_alike(range(len(texts)), texts)
+    assert [got[i] for i in range(len(texts))] == want and 2 < len(set(want)) < 150
+
+
+def test_each_candidate_comes_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = list(varied(rng, 40, 120, [int(c) for c in rng.integers(0, 6, 40)]))
+    for rows in (1 << 19, 100):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+        d = simhash.fingerprinted(docs(spark, texts)).withColumn("node", F.col("doc_id"))
+        got = [(r["a"], r["b"]) for r in simhash.candidates(d, 40).collect()]
+        wide = [int.from_bytes(simhash.wide_fingerprint(simhash._shingles(t, 5)), "big") for t in texts]
+        size = [len(simhash.shingle_set(t)) for t in texts]
+        want = [(a, b) for a, b in itertools.combinations(range(40), 2) if (wide[a] ^ wide[b]).bit_count() <= simhash.WIDE_RADIUS and 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b]) and any(((wide[a] ^ wide[b]) >> s & 0xFFFFFFFF).bit_count() <= 4 for s in range(0, 256, 32))]
+        assert sorted(got) == want and len(want) > 100
 
 
 def test_similarity_of_four_fifths_is_found_and_less_is_left(spark):
@@ -168,7 +176,7 @@ def test_similarity_of_four_fifths_is_found_and_less_is_left(spark):
         c = int(rng.integers(1, max(2, words // 45)))
         texts += varied(rng, 2, words, [0, c])
     shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_classes(docs(spark, texts)).collect()}
     for g in range(0, len(texts), 2):
         j = len(shingles[g] & shingles[g + 1]) / len(shingles[g] | shingles[g + 1])
         near.append((j, got[g] == got[g + 1]))

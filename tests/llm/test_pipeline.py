@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_corpus import ODD, docs, plain_hits, plain_similar, plain_sketch
+from tests.llm.test_corpus import ODD, docs, plain_alike, plain_hits
 from windloom.llm import pii, toxicity
 from windloom.llm.common import table
 
@@ -24,7 +24,7 @@ def test_stages_keep_columns_and_decide(spark, sf_dir):
             assert kept == {r["doc_id"] for r in before if lex.score(lex.weigh(r["text"])[0], lex.weigh(r["text"])[2]) < 0.3}
         elif name == "simhash":
             ids = [r["doc_id"] for r in before]
-            assert kept == set(plain_similar(ids, [plain_sketch(r["text"]) for r in before]))
+            assert kept == set(plain_alike(ids, [r["text"] for r in before]))
         elif name == "decontamination":
             assert kept == {r["doc_id"] for r in before if not plain_hits(r["text"], bench, 10)[4]}
         elif name == "pii":

@@ -10,12 +10,11 @@ forest, and the forests are joined by large-star / small-star rounds.
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows share a component.
 Rows without an id take part; a component whose rows all lack ids has a null component_id.
 
-``near_duplicates`` links short fingerprints at few bits. ``similar`` is for a similarity of shingle sets: at 0.8
-two texts differ in 15 of 100 bits, more than one ball can span, so a sketch of 192 bits is cut into six keys of 32
-bits with a ball each, and texts that meet under any key are verified on the whole sketch.
-
-Sketches only estimate the similarity. ``keep_one`` computes it: texts that share a min-hash key are compared by their
-whole shingle sets, and linked if the Jaccard similarity is 0.8 or more.
+``near_duplicates`` links short fingerprints at few bits. ``alike_classes`` is for a similarity of shingle sets: at
+0.8 two texts differ in 15 of 100 bits, more than one ball can span, so a fingerprint of 256 bits is cut into eight
+keys of 32 bits with a ball each. Texts that meet under a key, differ in few enough of all bits and have sets of fitting
+size are compared by their whole shingle sets, and linked if the Jaccard similarity is 0.8 or more. Sets of at most
+nine shingles, too small for an estimate, meet by what is left when one shingle is deleted.
 """
 
 from __future__ import annotations
@@ -136,11 +135,25 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+#: Fingerprints that a block of top bits is meant to hold; more top bits are taken for more fingerprints.
+BLOCK_ROWS = 1 << 19
+
+
+def _prefix(n: int, half: int, bits: int, least: int) -> int:
+    """Top bits of which a block's share of n fingerprints is at most BLOCK_ROWS (of all but 8 bits at most)."""
+    for p in range(least, bits - 8, 2):
+        if n * len(_masks(p, half)[half]) <= BLOCK_ROWS << p:
+            return p
+    return bits - 8
+
+
 def links(fps: DataFrame, radius: int = 4, partitions: int | None = None, n_rows: int | None = None) -> DataFrame:
     """Forest edges (a, b) that connect all distinct fingerprints ``fp`` linked at ``radius`` or less."""
-    half, spark = (radius + 1) // 2, fps.sparkSession
+    if radius % 2:
+        raise ValueError("the radius must be even: half of it is each fingerprint's ball")
+    half, spark = radius // 2, fps.sparkSession
     n = fps.count() if n_rows is None else n_rows
-    prefix = 8 if n < 1 << 26 else 12 if n < 1 << 30 else 16
+    prefix = _prefix(n, half, 64, 8)
     masks = [int(m) for m in _masks(prefix, half)[half]]
     top = F.shiftrightunsigned("fp", 64 - prefix)
     sent = fps.select("fp", F.explode(F.array(*[top.bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("block"))
@@ -154,9 +167,6 @@ def links(fps: DataFrame, radius: int = 4, partitions: int | None = None, n_rows
         if not edges:
             return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
         a, b = (np.concatenate(x) for x in zip(*edges))
-        if radius < 2 * half:
-            near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-            a, b = a[near], b[near]
         root = roots(len(fp), a, b)
         moved = np.flatnonzero(root != np.arange(len(fp)))
         return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[root[moved]].view(np.int64)})
@@ -165,7 +175,7 @@ def links(fps: DataFrame, radius: int = 4, partitions: int | None = None, n_rows
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node reachable) for every node of an edge; large-star / small-star rounds."""
+    """node, root (the least node reachable) for every node of an edge that isn't a root; large-star / small-star rounds."""
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     last = None
     while True:
@@ -181,15 +191,43 @@ def components(edges: DataFrame) -> DataFrame:
         e = stored(small.union(low.select("a", F.col("lo").alias("b"))).distinct())
 
 
+#: A key with more than one of so many rows is joined by broadcast; there are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def joined(rows: DataFrame, by_key: DataFrame, key: list[str], hot) -> DataFrame:
+    """Inner join of rows (stored) with by_key (stored, one row a key), which has the flag ``hot`` for at most HOT_SHARE keys.
+
+    Hot keys are broadcast, so that no task gets a hot key's rows; the others are shuffled.
+    """
+    by_key = by_key.withColumn("__hot", F.coalesce(hot, F.lit(False)))
+    top, values = by_key.where("__hot"), [c for c in by_key.columns if c not in (*key, "__hot")]
+    if not top.limit(1).count():
+        return rows.join(by_key.drop("__hot"), key)
+    met = rows.join(F.broadcast(top), key, "left")
+    rest = met.where("__hot is null").drop(*values, "__hot").join(by_key.where("not __hot").drop("__hot"), key)
+    return met.where("__hot").drop("__hot").unionByName(rest)
+
+
+def named_by_least(nodes: DataFrame, tree: DataFrame, value: list[str]) -> DataFrame:
+    """nodes with least: the smallest struct of the columns ``value`` in each one's component; null in the first column is the largest."""
+    nodes = nodes.withColumn("least", F.struct(*value))
+    inside = stored(nodes.join(tree.union(tree.select("root", "root").distinct()), "node"))
+    order = F.struct(F.col(value[0]).isNull().alias("no"), F.col("least").alias("v"))
+    least = stored(inside.groupBy("root").agg(F.min(order).alias("m"), F.count("*").alias("members")).select("root", F.col("m.v").alias("least"), "members"))
+    told = joined(inside.drop("least"), least, ["root"], F.col("members") * HOT_SHARE > inside.count()).drop("root", "members")
+    alone = nodes.join(inside.select("node"), "node", "left_anti")
+    return stored(told.unionByName(alone))
+
+
 def classes(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for each row of docs(doc_id, text)."""
     fps = stored(fingerprints(docs, words))
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     tree = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named_by_least(distinct.select(F.col("fp").alias("node"), "first_id", "copies"), tree, ["first_id"])
+    named = named.select(F.col("node").alias("fp"), F.col("least.first_id").alias("component_id"), "copies")
+    return joined(fps, named, ["fp"], F.col("copies") * HOT_SHARE > fps.count()).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -198,191 +236,157 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: A sketch is 192 bits, three longs; each half of a long is a key.
-WIDE, KEY_BITS, KEY_RADIUS = 192, 32, 4
-#: Differing bits at which sketches link. Shingle sets of similarity 0.8 have a cosine of 2 * 0.8 / 1.8, an angle of
-#: 0.151 half turns: 29 differing bits expected, with a standard deviation of 5, which is added.
-WIDE_RADIUS = 34
+#: A wide fingerprint is 256 bits, four longs; each half of a long is a key with a ball of radius 2.
+WIDE, KEY_BITS, KEY_RADIUS = 256, 32, 4
+#: Differing bits up to which texts that met are compared. Shingle sets of similarity 0.8 have a cosine of 2 * 0.8 / 1.8,
+#: an angle of 0.151 half turns: 39 differing bits expected, with a standard deviation of 5.7; more than 58 have a
+#: probability of 0.001. One key in eight differs in at most 4 bits with a probability of 0.99 or more (0.98 at 12 shingles).
+WIDE_RADIUS = 58
+#: Jaccard similarity of shingle sets from which texts are near copies.
+SIMILAR = 0.8
+#: Sets of so many shingles meet by deletions: at 0.8 one of two such sets is the other without one shingle.
+#: Pairs with a union of more need eight shingles on both sides, and all such sets are sketched.
+FEW_SHINGLES, SKETCHED_FROM = 9, 8
+#: Rounds in which each text is compared with its nearest open candidate, before all pairs still open are; pairs a
+#: text from which another such round is cheaper. Texts in a cell of the comparison, at most about twice.
+NEAREST_ROUNDS, OPEN_PAIRS, CELL = 4, 4, 128
 
 
-def sketch(text: str | None, words: int = 5) -> bytes:
-    """24 bytes: a bit is as in most of the distinct shingles' hashes, at a tie as in the least hash; no words: zero.
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles; a text of fewer words is one shingle, without words it has none."""
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, _shingles(text, words))), dtype=np.uint64))
+
 
-    Without the tie rule texts of two or four shingles would have few bits set and be near each other and zero.
-    """
+def _shingles(text: str | None, words: int) -> set[bytes]:
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return bytes(WIDE // 8)
+        return set()
     joined = b" ".join(tokens)
     ends = list(accumulate((len(t) + 1 for t in tokens), initial=0))
-    shingles = {joined[a : b - 1] for a, b in zip(ends, ends[words:])} if len(tokens) > words else {joined}
-    digests = [xxhash.xxh3_128_digest(x) + xxhash.xxh64_digest(x) for x in shingles]
+    return {joined[a : b - 1] for a, b in zip(ends, ends[words:])} if len(tokens) > words else {joined}
+
+
+def wide_fingerprint(shingles: set[bytes]) -> bytes:
+    """32 bytes: a bit is as in most of the distinct shingles' hashes, at a tie as in the least hash; no shingles: zero."""
+    if not shingles:
+        return bytes(WIDE // 8)
+    digests = [xxhash.xxh3_128_digest(x) + xxhash.xxh3_128_digest(x, 1) for x in shingles]
     total, n = np.zeros(WIDE, dtype=np.int64), len(digests)
     for i in range(0, n, 1 << 14):  # bounded memory for very long texts
         rows = np.frombuffer(b"".join(digests[i : i + (1 << 14)]), dtype=np.uint8).reshape(-1, WIDE // 8)
-        total += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+        for j in range(0, len(rows), 255):
+            total += np.unpackbits(rows[j : j + 255], axis=1).sum(axis=0, dtype=np.uint8)
     least = np.unpackbits(np.frombuffer(min(digests), dtype=np.uint8))
     return np.packbits(np.where(total * 2 == n, least, total * 2 > n).astype(np.uint8)).tobytes()
 
 
-def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, s0, s1, s2 (the sketch as signed longs)."""
+def _digest(shingles: np.ndarray) -> list[int]:
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=np.int64).tolist()
+
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    """docs with h and n, a row's key; equal rows share it."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id", "text")).withColumn("n", F.coalesce(F.length("text"), F.lit(-1)).cast("long"))
+
+
+S = [f"s{i}" for i in range(WIDE // 64)]
+
+
+def fingerprinted(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, h, n, d0, d1 (digest of the shingle set), size (of it), s0 to s3 (wide fingerprint), less (hashes of the set without one shingle each, if small)."""
 
     def make():
         def run(cols):
-            got = np.frombuffer(b"".join(sketch(t, words) for t in cols["text"]), dtype=">i8").reshape(-1, 3).astype(np.int64)
-            return {"doc_id": cols["doc_id"]} | {f"s{i}": got[:, i] for i in range(3)}
+            out = {"doc_id": cols["doc_id"], "h": cols["h"], "n": cols["n"], "d0": [], "d1": [], "size": [], "less": []}
+            wide = []
+            for text in cols["text"]:
+                shingles = _shingles(text, words)
+                got = np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles)), dtype=np.uint64))
+                d0, d1 = _digest(got)
+                out["d0"].append(d0)
+                out["d1"].append(d1)
+                out["size"].append(len(got))
+                out["less"].append([dict(zip(("d0", "d1"), _digest(np.delete(got, i)))) for i in range(len(got))] if 5 <= len(got) <= FEW_SHINGLES else [])
+                wide.append(wide_fingerprint(shingles) if len(got) >= SKETCHED_FROM else bytes(WIDE // 8))
+            wide = np.frombuffer(b"".join(wide), dtype=">i8").reshape(-1, len(S)).astype(np.int64)
+            return out | {s: wide[:, i] for i, s in enumerate(S)}
 
         return run
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, s0 long, s1 long, s2 long")
+    return map_batches(_row_key(docs), make, "doc_id long, h long, n long, d0 long, d1 long, size int, less array<struct<d0:long,d1:long>>, " + ", ".join(f"{s} long" for s in S))
 
 
 def _apart(wide: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
 
 
-def _verified(wide: np.ndarray, place: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect all owners which share a variant and whose sketches are within ``radius``.
-
-    First each owner is tried against its variant's first owner, which settles groups of copies. Then, in the
-    variants whose owners are not all connected yet, each is tried against the owner s places on, for every s.
-    """
+def _fitting(wide: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of owners of one variant that are within ``radius`` and of fitting sizes."""
     order = np.lexsort((own, place))
     place, own = place[order], own[order]
-    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    size = np.diff(np.r_[start, len(place)])
-    first = np.repeat(own[start], size)
-    pairs = np.unique(first[first != own] * len(wide) + own[first != own])
-    a, b = np.divmod(pairs, len(wide))
-    near = _apart(wide, a, b) <= radius
-    a, b = a[near], b[near]
-    label, fresh = roots(len(wide), a, b), 0
-    open_ = np.repeat(size > 2, size)
-    place, own, step = place[open_], own[open_], 1
-    while len(own) > step:
-        if step & (step - 1) == 0 or fresh > 1 << 16:
-            if fresh:
-                label, fresh = roots(len(wide), a, b), 0
-            start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            size, of = np.diff(np.r_[start, len(place)]), label[own]
-            mixed = (np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)) & (size > step)
-            stay = np.repeat(mixed, size)
-            place, own = place[stay], own[stay]
-            if len(own) <= step:
-                break
-        x, y = own[:-step], own[step:]
-        test = (place[:-step] == place[step:]) & (label[x] != label[y])
-        if test.any():
-            x, y = x[test], y[test]
-            near = _apart(wide, x, y) <= radius
-            a, b, fresh = np.r_[a, x[near]], np.r_[b, y[near]], fresh + int(near.sum())
+    ends = np.searchsorted(place, place, side="right")
+    out_a, out_b, step = [], [], 1
+    at = np.flatnonzero(ends - np.arange(len(own)) > step)
+    while len(at):
+        x, y = own[at], own[at + step]
+        fits = np.flatnonzero((np.minimum(size[x], size[y]) + 1e-9 >= least * np.maximum(size[x], size[y])) & (x != y))
+        x, y = x[fits], y[fits]
+        near = _apart(wide, x, y) <= radius
+        out_a.append(x[near])
+        out_b.append(y[near])
         step += 1
-    return a, b
+        at = at[ends[at] - at > step]
+    if not out_a:
+        return (np.zeros(0, np.int64),) * 2
+    return tuple(np.divmod(np.unique(np.concatenate(out_a) * len(wide) + np.concatenate(out_b)), len(wide)))
 
 
-def similar(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Forest edges (a, b) over ``node`` of distinct(node, s0, s1, s2).
+def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, least: float = SIMILAR) -> DataFrame:
+    """a, b, apart: each pair of distinct(node, size, s0 to s3) once that meets under a key and is worth comparing.
 
-    Two sketches are linked if some key of theirs differs in at most four bits and they in at most ``radius``.
+    Of the keys under which a pair meets, and the blocks where it does, the first one gives it.
     """
-    half, prefix = KEY_RADIUS // 2, 4 if n_rows < 1 << 21 else 6 if n_rows < 1 << 24 else 10
+    half, prefix = KEY_RADIUS // 2, _prefix(n_rows, KEY_RADIUS // 2, KEY_BITS, 4)
     low = KEY_BITS - prefix
     masks = [int(m) for m in _masks(prefix, half)[half]]
     blocks = []
     for key in range(WIDE // KEY_BITS):
-        top = F.shiftrightunsigned(f"s{key // 2}", 64 - prefix) if key % 2 == 0 else F.shiftrightunsigned(f"s{key // 2}", low).bitwiseAND(F.lit((1 << prefix) - 1))
+        top = F.shiftrightunsigned(S[key // 2], 64 - prefix) if key % 2 == 0 else F.shiftrightunsigned(S[key // 2], low).bitwiseAND(F.lit((1 << prefix) - 1))
         blocks += [top.bitwiseXOR(F.lit(m).cast("long")) + F.lit(key << prefix).cast("long") for m in masks]
-    sent = distinct.select("node", "s0", "s1", "s2", F.explode(F.array(*blocks)).alias("block"))
+    sent = distinct.select("node", "size", *S, F.explode(F.array(*blocks)).alias("block"))
+
+    def key_of(wide, key):
+        return (wide[:, key // 2] >> np.uint64(0 if key % 2 else 32)) & np.uint64((1 << 32) - 1)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
-        node, wide = pdf["node"].to_numpy(), pdf[["s0", "s1", "s2"]].to_numpy().view(np.uint64)
+        node, size, wide = pdf["node"].to_numpy(), pdf["size"].to_numpy(), pdf[S].to_numpy().view(np.uint64)
         key, head = divmod(int(pdf["block"].iloc[0]), 1 << prefix)
-        fp = (wide[:, key // 2] >> np.uint64(0 if key % 2 else 32)) & np.uint64((1 << 32) - 1)
-        left = half - np.bitwise_count((fp >> np.uint64(low)) ^ np.uint64(head)).astype(np.int64)
+        fp, head = key_of(wide, key), np.uint64(head)
+        left = half - np.bitwise_count((fp >> np.uint64(low)) ^ head).astype(np.int64)
 
         def join(index, place, own):
-            return _verified(wide[index], place, own, radius)
+            return _fitting(wide[index], size[index], place, own, radius, least)
 
         edges = _meet(fp, left, low, half, VARIANTS_AT_ONCE, join)
-        if not edges:
-            return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
-        a, b = (np.concatenate(x) for x in zip(*edges))
-        root = roots(len(node), a, b)
-        moved = np.flatnonzero(root != np.arange(len(node)))
-        return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
+        a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        here = np.ones(len(a), dtype=bool)
+        for k in range(key):  # an earlier key gives the pair
+            f = key_of(wide, k)
+            here &= np.bitwise_count(f[a] ^ f[b]) > KEY_RADIUS
+        # of the blocks where it meets: b's own, or a's with its two lowest differing bits turned
+        ha, hb = fp[a] >> np.uint64(low), fp[b] >> np.uint64(low)
+        x = ha ^ hb
+        y = x & (x - np.minimum(x, np.uint64(1)))
+        z = y & (y - np.minimum(y, np.uint64(1)))
+        here &= np.where(np.bitwise_count(x) <= half, hb, ha ^ x ^ z) == head
+        pairs = np.unique(np.stack([a[here], b[here]], axis=1), axis=0)
+        a, b = pairs[:, 0], pairs[:, 1]
+        return pd.DataFrame({"a": node[a], "b": node[b], "apart": _apart(wide, a, b).astype(np.int32)})
 
     partitions = max(96, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sent.repartition(partitions, "block").groupBy("block").applyInPandas(block, "a long, b long").distinct()
-
-
-def similar_classes(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable) for each row of docs(doc_id, text)."""
-    cols = ["s0", "s1", "s2"]
-    all_ = stored(sketches(docs, words))
-    distinct = stored(all_.groupBy(*cols).agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
-    tree = components(similar(distinct.select("node", *cols), distinct.count(), radius))
-    rooted = distinct.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return all_.join(rooted.join(least, "root").select(*cols, "component_id"), cols).select("doc_id", "component_id")
-
-
-#: Jaccard similarity of shingle sets from which texts are near copies.
-SIMILAR = 0.8
-#: Candidates share one of 32 keys of 4 minima: a pair of similarity 0.8 shares none with probability (1 - 0.8 ** 4) ** 32,
-#: 5 in 100 million, at any number of shingles. Candidates are only compared, never linked, by their keys.
-KEYS, MINIMA = 32, 4
-_RNG = np.random.default_rng(20)
-_TURN, _ODD = (_RNG.integers(0, 1 << 63, KEYS * MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
-#: Rounds of stars before all open pairs are compared; pairs a member from which another round of stars is cheaper.
-STAR_ROUNDS, OPEN_PAIRS = 6, 4
-
-
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct XXH64 of the shingles; a text of fewer words is one shingle, without words it has none."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, dtype=np.uint64)
-    joined, digest = b" ".join(tokens), xxhash.xxh64_digest
-    if len(tokens) <= words:
-        return np.frombuffer(digest(joined), dtype=np.uint64)
-    ends = list(accumulate((len(t) + 1 for t in tokens), initial=0))
-    return np.unique(np.frombuffer(b"".join([digest(joined[a : b - 1]) for a, b in zip(ends, ends[words:])]), dtype=np.uint64))
-
-
-def min_keys(shingles: np.ndarray) -> list[int]:
-    """The keys under which a set meets its candidates; none for the empty set."""
-    if not len(shingles):
-        return []
-    least = np.full(KEYS * MINIMA, np.iinfo(np.uint64).max)
-    for i in range(0, len(shingles), 512):
-        least = np.minimum(least, ((shingles[i : i + 512, None] ^ _TURN) * _ODD).min(axis=0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(KEYS, MINIMA))]
-
-
-def _row_key(docs: DataFrame) -> DataFrame:
-    """docs with h and n, a row's key; equal rows share it."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id", "text")).withColumn("n", F.coalesce(F.length("text"), F.lit(-1)).cast("long"))
-
-
-def min_hashed(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, h, n, d0, d1 (digest of the shingle set), keys."""
-
-    def make():
-        def run(cols):
-            out = {"doc_id": cols["doc_id"], "h": cols["h"], "n": cols["n"], "d0": [], "d1": [], "keys": []}
-            for text in cols["text"]:
-                got = shingle_set(text, words)
-                d0, d1 = np.frombuffer(xxhash.xxh3_128_digest(got.tobytes()), dtype=np.int64).tolist()
-                out["d0"].append(d0)
-                out["d1"].append(d1)
-                out["keys"].append(min_keys(got))
-            return out
-
-        return run
-
-    return map_batches(_row_key(docs), make, "doc_id long, h long, n long, d0 long, d1 long, keys array<long>")
+    return sent.repartition(partitions, "block").groupBy("block").applyInPandas(block, "a long, b long, apart int")
 
 
 def _sets(docs: DataFrame, need: DataFrame, words: int, few: int = 200_000) -> DataFrame:
@@ -402,86 +406,98 @@ def _sets(docs: DataFrame, need: DataFrame, words: int, few: int = 200_000) -> D
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets' Jaccard similarity is at least ``least``.
 
-    b may be in many pairs: its set is sent once for each 512 of them.
+    Nodes with a common neighbour are dealt into cells of about CELL, and a set is sent once to every pair of cells
+    that holds a pair of its node: so in a group whose members are all each other's candidates a set is sent
+    members / CELL times and not once for each pair.
     """
-
-    def make():
-        def run(cols):
-            out = {"a": [], "b": []}
-            for a, b, x, y in zip(cols["a"], cols["b"], cols["x"], cols["y"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if min(len(x), len(y)) + 1e-9 < least * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both + 1e-9 >= least * (len(x) + len(y) - both):
-                    out["a"].append(a)
-                    out["b"].append(b)
-            return out
-
-        return run
-
-    salts = pairs.groupBy(F.col("b").alias("node")).agg(F.ceil(F.count("*") / 512).cast("int").alias("salts"))
-    salts = stored(salts)
-    left = pairs.join(salts.withColumnRenamed("node", "b"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).select("a", "b", "salt")
-    left = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    right = sets.join(salts, "node").select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return map_batches(left.join(right, ["b", "salt"]).select("a", "b", "x", "y"), make, "a long, b long")
+    ends = pairs.select(F.col("a").alias("node"), F.xxhash64("b").alias("o")).union(pairs.select(F.col("b").alias("node"), F.xxhash64("a").alias("o")))
+    label = ends.groupBy("node").agg(F.min("o").alias("o")).select("node", F.least("o", F.xxhash64("node")).alias("label"))
+    label = stored(label)
+    counts = label.groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("long").alias("k"))
+    cell = stored(joined(label, stored(counts), ["label"], F.col("k") * CELL * HOT_SHARE > label.count()).select("node", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k"))).alias("cell")))
+    of = lambda side: cell.select(F.col("node").alias(side), F.col("cell").alias(f"c{side}"))
+    dealt = stored(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("at")))
+    wanted = dealt.select("at", F.col("a").alias("node")).union(dealt.select("at", F.col("b").alias("node"))).distinct()
+    rows = wanted.join(sets, "node").select("at", "node", F.lit(None).cast("long").alias("other"), "shingles")
+    rows = rows.union(dealt.select("at", "a", "b", F.lit(None).cast("binary")))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_set = pdf["other"].isna()
+        held = {n: np.frombuffer(x, dtype=np.uint64) for n, x in zip(pdf["node"][is_set], pdf["shingles"][is_set])}
+        out = []
+        for a, b in zip(pdf["node"][~is_set].tolist(), pdf["other"][~is_set].astype("int64").tolist()):
+            x, y = held[a], held[b]
+            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+            if both + 1e-9 >= least * (len(x) + len(y) - both):
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("at").applyInPandas(compare, "a long, b long")
 
 
 def alike_tree(docs: DataFrame, distinct: DataFrame, words: int = 5, least: float = SIMILAR) -> DataFrame:
-    """node, root: components of distinct(node, h, n, keys) under a similarity of ``least`` or more.
+    """node, root: components of distinct(node, h, n, d0, d1, size, less, s0 to s3) under a similarity of ``least`` or more.
 
-    The members of a key are compared with one of them; then, round by round, those not yet connected with another one;
-    at last all pairs still open. So a group of near copies costs a few comparisons a member, and no pair is left out.
+    Each text is first compared with its nearest candidate that it isn't connected to yet, in rounds; at last all pairs
+    still open. So a group of near copies costs few comparisons a member, and no candidate is left out.
     """
-    met = distinct.select("node", F.explode("keys").alias("key"))
-    shared = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    met = stored(met.join(shared, "key").select("key", "node"))
-    need = met.select("node").distinct().join(distinct.select("node", "h", "n"), "node")
+    met = stored(candidates(distinct.where(F.col("size") >= SKETCHED_FROM), distinct.count(), least=least))
+    # one of two small sets is the other without one shingle: the whole digest decides
+    smaller = distinct.where(F.col("size").between(4, FEW_SHINGLES - 1)).select(F.col("node").alias("b"), "d0", "d1")
+    less = distinct.where(F.size("less") > 0).select(F.col("node").alias("a"), F.explode("less").alias("l")).select("a", "l.d0", "l.d1")
+    by_hash = less.join(smaller, ["d0", "d1"]).select("a", "b").distinct()
+    edges = stored(by_hash)
+    tree = components(edges)
+    if not met.limit(1).count():
+        return tree
+    need = met.select(F.col("a").alias("node")).union(met.select("b")).distinct().join(distinct.select("node", "h", "n"), "node")
     sets = stored(_sets(docs, stored(need), words))
-    empty = met.sparkSession.createDataFrame([], "a long, b long")
-    edges, done, tree = empty, empty, components(empty)
-    for turn in range(STAR_ROUNDS + 1):
-        now = met.join(tree, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_ = now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        size = open_.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        if not size[1]:
+    open_ = met
+    for turn in range(NEAREST_ROUNDS + 1):
+        now = open_
+        if turn or edges.limit(1).count():
+            of = lambda side: tree.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+            now = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "apart")
+        now = stored(now)
+        both = now.select(F.col("a").alias("node"), "apart", "a", "b").union(now.select("b", "apart", "a", "b"))
+        nearest = both.groupBy("node").agg(F.min(F.struct("apart", F.xxhash64("a", "b"), "a", "b")).alias("m")).select("node", "m.a", "m.b")
+        nearest = stored(nearest)
+        n_open, n_nodes = now.count(), nearest.count()
+        if not n_open:
             break
-        last = turn == STAR_ROUNDS or size[0] <= OPEN_PAIRS * size[1]
-        now = now.join(open_.select("key"), "key")
-        other = now.select("key", F.col("node").alias("b"), F.col("root").alias("of")) if last else now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("b"), F.col("root").alias("of"))).alias("c")).select("key", "c.b", "c.of")
-        pairs = now.join(other, "key").where("root <> of" if not last else "root <> of and node < b").select(F.least("node", "b").alias("lo"), F.greatest("node", "b").alias("hi")).distinct()
-        # the centre of a star has the role of b, which may be in many pairs
-        pairs = stored(pairs.select(F.col("hi").alias("a"), F.col("lo").alias("b")).join(done, ["a", "b"], "left_anti"))
+        last = turn == NEAREST_ROUNDS or n_open <= OPEN_PAIRS * n_nodes
+        pairs = now.select("a", "b") if last else stored(nearest.select("a", "b").distinct())
         edges = stored(edges.union(_alike(pairs, sets, least)))
-        tree = stored(components(edges))
+        tree = components(edges)
         if last:
             break
-        done = stored(done.union(pairs))
+        open_ = now.join(pairs, ["a", "b"], "left_anti")
     return tree
 
 
 def alike_classes(docs: DataFrame, words: int = 5, least: float = SIMILAR) -> DataFrame:
-    """doc_id, h, n (a row's key), component_id (the smallest doc_id reachable) for each row of docs(doc_id, text)."""
-    all_ = stored(min_hashed(docs, words))
-    row = F.struct("h", "n")
-    distinct = all_.groupBy("d0", "d1").agg(F.min("doc_id").alias("first_id"), F.min(row).alias("row"), F.first("keys").alias("keys"))
-    distinct = stored(distinct.select("d0", "d1", "first_id", "row.h", "row.n", "keys", F.monotonically_increasing_id().alias("node")))
+    """doc_id, h, n (a row's key), component_id (the smallest doc_id reachable), first (doc_id, h, n of that row) for each row of docs(doc_id, text)."""
+    all_ = stored(fingerprinted(docs, words))
+    rest = ["size", "less", *S]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.struct("doc_id", "h", "n").alias("v")))
+    distinct = all_.groupBy("d0", "d1").agg(first.alias("m"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in rest))
+    distinct = stored(distinct.select("d0", "d1", "m.v.*", "copies", *rest, F.monotonically_increasing_id().alias("node")))
     tree = alike_tree(docs, distinct, words, least)
-    rooted = distinct.select("d0", "d1", "first_id", "node").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return all_.drop("keys").join(rooted.join(groups, "root").select("d0", "d1", "component_id"), ["d0", "d1"]).select("doc_id", "h", "n", "component_id")
+    named = named_by_least(distinct.select("node", "d0", "d1", "copies", "doc_id", "h", "n"), tree, ["doc_id", "h", "n"]).select("d0", "d1", "copies", "least")
+    got = joined(all_.select("doc_id", "h", "n", "d0", "d1"), named, ["d0", "d1"], F.col("copies") * HOT_SHARE > all_.count())
+    return got.select("doc_id", "h", "n", F.col("least.doc_id").alias("component_id"), F.col("least").alias("first"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = SIMILAR) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group of texts with a shingle similarity of ``least`` or more.
+    """Of each group of texts with a shingle similarity of ``least`` or more the row with the smallest id, and the rows without an id.
 
-    Rows without an id stay, as no group can name them. Of rows repeated with id and text one stays.
+    Rows are told apart by id and text: of an id with two texts only those rows go that are no group's first. Of rows
+    repeated with id and text one stays. Null and empty texts are copies of each other. Empty tables give none.
     """
-    got = stored(alike_classes(docs.select("doc_id", "text"), words, least))
-    gone = got.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    if got.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    got = stored(alike_classes(docs.select("doc_id", "text"), words, least).where("doc_id is not null"))
+    gone = stored(got.where("struct(doc_id, h, n) <> first").select(F.col("doc_id").alias("__wl_id"), F.col("h").alias("__wl_h")).distinct())
+    kept = docs.join(gone, (docs["doc_id"].cast("long") == gone["__wl_id"]) & (F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == gone["__wl_h"]), "left_anti")
+    if got.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
         named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
         kept = named.unionByName(kept.where("doc_id is null"))
     return kept
