@@ -159,7 +159,7 @@ def test_each_candidate_comes_once(spark, monkeypatch):
     texts = list(varied(rng, 40, 120, [int(c) for c in rng.integers(0, 6, 40)]))
     for rows in (1 << 19, 100):
         monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
-        d = simhash.fingerprinted(docs(spark, texts)).withColumn("node", F.col("doc_id"))
+        d = simhash.fingerprinted(docs(spark, texts)).withColumn("node", F.col("doc_id")).withColumn("root", F.col("doc_id"))
         got = [(r["a"], r["b"]) for r in simhash.candidates(d, 40).collect()]
         wide = [int.from_bytes(simhash.wide_fingerprint(simhash._shingles(t, 5)), "big") for t in texts]
         size = [len(simhash.shingle_set(t)) for t in texts]
@@ -566,14 +566,58 @@ def test_neighbours_recall(spark, sf_dir):
     assert all(r["score"] == pytest.approx(float(np.linalg.norm(np.array(vectors[r["query_id"]]) - np.array(vectors[r["vec_id"]]))), rel=1e-12) for r in got)
 
 
+def test_neighbours_in_clusters_verify_few_rows(spark):
+    """100,000 rows in 2,000 clusters: most rows are never verified, and hardly a neighbour is missed."""
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((2000, 32))
+    x = centres[rng.integers(0, 2000, 100_000)] + 0.15 * rng.standard_normal((100_000, 32))
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    index = neighbours.build(df)
+    assert index.rows.count() == len(x) and len(index.boxes[32][0]) > 8
+    got = neighbours.ask(index, df.where("vec_id % 1000 = 0")).collect()
+    hit = 0
+    for q in range(0, len(x), 1000):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        near = set(np.argsort(d)[:10].tolist())
+        hit += sum(r["vec_id"] in near for r in got if r["query_id"] == q)
+    verified = {r["query_id"]: r["verified"] for r in got}
+    assert hit >= 0.9 * 10 * len(verified) and len(verified) == 100
+    assert sum(verified.values()) < 0.05 * len(verified) * len(x)
+
+
+def test_neighbours_without_structure(spark):
+    """Equally spread directions: recall and the share of rows verified, over several cells."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    got = neighbours.search(df, df.where("vec_id % 100 = 0"), cell_rows=1000).collect()
+    hit = 0
+    for q in range(0, len(x), 100):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        near = set(np.argsort(d)[:10].tolist())
+        hit += sum(r["vec_id"] in near for r in got if r["query_id"] == q)
+    verified = {r["query_id"]: r["verified"] for r in got}
+    assert hit >= 0.9 * 10 * 120
+    assert sum(verified.values()) < 0.6 * 120 * len(x)
+
+
+def test_neighbours_of_one_id(spark):
+    """Two rows of one id: the least vector asks, the nearest row answers."""
+    df = spark.createDataFrame([(0, [3.0, 1.0]), (0, [1.0, 1.0]), (1, [9.0, 9.0]), (1, [1.0, 2.0]), (2, [1.0, 5.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in neighbours.search(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1.0), (2, 4.0)]
+
+
 def test_neighbours_edges(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(1, 300)] + [(0, [1.0] * 4)] + [(1000 + i, [1.0] * 4) for i in range(50)]
     rows += [(2000, None), (2001, [0.0] * 4), (2002, [None, 1.0, 1.0, 1.0]), (2003, [float("nan"), 1.0, 1.0, 1.0]), (2004, [float("inf")] * 4), (None, [1.0] * 4), (2005, [1.0] * 3), (0, [1.0] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
-    for block in (neighbours.QUERIES, 2):
+    for block, cell_rows in ((neighbours.QUERIES, neighbours.CELL_ROWS), (2, 40)):
         got = {}
-        for r in neighbours.search(df, df.where("vec_id % 100 = 0"), block=block).orderBy("query_id", "rank").collect():
+        for r in neighbours.search(df, df.where("vec_id % 100 = 0"), block=block, cell_rows=cell_rows).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append(r["vec_id"])
         assert got[0] == [1000 + i for i in range(10)] and 2000 not in got and set(got) == {0, 100, 200, 1000}
         assert got[1000][0] == 0

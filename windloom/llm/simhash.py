@@ -245,11 +245,10 @@ WIDE_RADIUS = 58
 #: Jaccard similarity of shingle sets from which texts are near copies.
 SIMILAR = 0.8
 #: Sets of so many shingles meet by deletions: at 0.8 one of two such sets is the other without one shingle.
-#: Pairs with a union of more need eight shingles on both sides, and all such sets are sketched.
+#: Pairs with a union of more need eight shingles on both sides, and all such sets have a wide fingerprint.
 FEW_SHINGLES, SKETCHED_FROM = 9, 8
-#: Rounds in which each text is compared with its nearest open candidate, before all pairs still open are; pairs a
-#: text from which another such round is cheaper. Texts in a cell of the comparison, at most about twice.
-NEAREST_ROUNDS, OPEN_PAIRS, CELL = 4, 4, 128
+#: Candidates with which each text is compared first; texts in a cell of the comparison, at most about twice.
+NEAREST, CELL = 2, 128
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -320,8 +319,8 @@ def _apart(wide: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
 
 
-def _fitting(wide: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of owners of one variant that are within ``radius`` and of fitting sizes."""
+def _fitting(wide: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of owners of one variant that have different roots, are within ``radius`` and of fitting sizes."""
     order = np.lexsort((own, place))
     place, own = place[order], own[order]
     ends = np.searchsorted(place, place, side="right")
@@ -329,7 +328,7 @@ def _fitting(wide: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndar
     at = np.flatnonzero(ends - np.arange(len(own)) > step)
     while len(at):
         x, y = own[at], own[at + step]
-        fits = np.flatnonzero((np.minimum(size[x], size[y]) + 1e-9 >= least * np.maximum(size[x], size[y])) & (x != y))
+        fits = np.flatnonzero((np.minimum(size[x], size[y]) + 1e-9 >= least * np.maximum(size[x], size[y])) & (root[x] != root[y]))
         x, y = x[fits], y[fits]
         near = _apart(wide, x, y) <= radius
         out_a.append(x[near])
@@ -341,10 +340,11 @@ def _fitting(wide: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndar
     return tuple(np.divmod(np.unique(np.concatenate(out_a) * len(wide) + np.concatenate(out_b)), len(wide)))
 
 
-def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, least: float = SIMILAR) -> DataFrame:
-    """a, b, apart: each pair of distinct(node, size, s0 to s3) once that meets under a key and is worth comparing.
+def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, least: float = SIMILAR, nearest: int | None = None) -> DataFrame:
+    """a, b, apart: each pair of distinct(node, root, size, s0 to s3) once that meets under a key, has different roots and is worth comparing.
 
-    Of the keys under which a pair meets, and the blocks where it does, the first one gives it.
+    Of the keys under which a pair meets, and the blocks where it does, the first one gives it. With ``nearest`` a block
+    gives only so many for each of its nodes, as (node, other).
     """
     half, prefix = KEY_RADIUS // 2, _prefix(n_rows, KEY_RADIUS // 2, KEY_BITS, 4)
     low = KEY_BITS - prefix
@@ -353,20 +353,20 @@ def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, leas
     for key in range(WIDE // KEY_BITS):
         top = F.shiftrightunsigned(S[key // 2], 64 - prefix) if key % 2 == 0 else F.shiftrightunsigned(S[key // 2], low).bitwiseAND(F.lit((1 << prefix) - 1))
         blocks += [top.bitwiseXOR(F.lit(m).cast("long")) + F.lit(key << prefix).cast("long") for m in masks]
-    sent = distinct.select("node", "size", *S, F.explode(F.array(*blocks)).alias("block"))
+    sent = distinct.select("node", "root", "size", *S, F.explode(F.array(*blocks)).alias("block"))
 
     def key_of(wide, key):
         return (wide[:, key // 2] >> np.uint64(0 if key % 2 else 32)) & np.uint64((1 << 32) - 1)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
-        node, size, wide = pdf["node"].to_numpy(), pdf["size"].to_numpy(), pdf[S].to_numpy().view(np.uint64)
+        node, root, size, wide = pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["size"].to_numpy(), pdf[S].to_numpy().view(np.uint64)
         key, head = divmod(int(pdf["block"].iloc[0]), 1 << prefix)
         fp, head = key_of(wide, key), np.uint64(head)
         left = half - np.bitwise_count((fp >> np.uint64(low)) ^ head).astype(np.int64)
 
         def join(index, place, own):
-            return _fitting(wide[index], size[index], place, own, radius, least)
+            return _fitting(wide[index], root[index], size[index], place, own, radius, least)
 
         edges = _meet(fp, left, low, half, VARIANTS_AT_ONCE, join)
         a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
@@ -383,7 +383,15 @@ def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, leas
         here &= np.where(np.bitwise_count(x) <= half, hb, ha ^ x ^ z) == head
         pairs = np.unique(np.stack([a[here], b[here]], axis=1), axis=0)
         a, b = pairs[:, 0], pairs[:, 1]
-        return pd.DataFrame({"a": node[a], "b": node[b], "apart": _apart(wide, a, b).astype(np.int32)})
+        apart = _apart(wide, a, b).astype(np.int32)
+        if nearest is not None and len(a):
+            ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((pair, apart[pair], ends))
+            ends, pair = ends[order], pair[order]
+            own = np.arange(len(ends)) - np.searchsorted(ends, ends) < nearest
+            ends, pair = ends[own], pair[own]
+            a, b, apart = ends, a[pair] + b[pair] - ends, apart[pair]
+        return pd.DataFrame({"a": node[a], "b": node[b], "apart": apart})
 
     partitions = max(96, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return sent.repartition(partitions, "block").groupBy("block").applyInPandas(block, "a long, b long, apart int")
@@ -423,7 +431,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         is_set = pdf["other"].isna()
-        held = {n: np.frombuffer(x, dtype=np.uint64) for n, x in zip(pdf["node"][is_set], pdf["shingles"][is_set])}
+        held = {n: np.frombuffer(x, dtype=np.uint64) for n, x in zip(pdf["node"][is_set].tolist(), pdf["shingles"][is_set])}
         out = []
         for a, b in zip(pdf["node"][~is_set].tolist(), pdf["other"][~is_set].astype("int64").tolist()):
             x, y = held[a], held[b]
@@ -438,41 +446,29 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def alike_tree(docs: DataFrame, distinct: DataFrame, words: int = 5, least: float = SIMILAR) -> DataFrame:
     """node, root: components of distinct(node, h, n, d0, d1, size, less, s0 to s3) under a similarity of ``least`` or more.
 
-    Each text is first compared with its nearest candidate that it isn't connected to yet, in rounds; at last all pairs
-    still open. So a group of near copies costs few comparisons a member, and no candidate is left out.
+    Each text is first compared with its nearest candidates; then all pairs are that aren't connected by those links.
+    So within a group of near copies few pairs are compared, and no candidate is left out.
     """
-    met = stored(candidates(distinct.where(F.col("size") >= SKETCHED_FROM), distinct.count(), least=least))
+    wide = distinct.where(F.col("size") >= SKETCHED_FROM).select("node", F.col("node").alias("root"), "size", *S)
+    n = distinct.count()
+    first = candidates(wide, n, least=least, nearest=NEAREST)
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct("apart", "b"))), 1, NEAREST)  # of NEAREST a block, and a node is in some hundred blocks
+    met = stored(first.groupBy(F.col("a").alias("node")).agg(nearest.alias("m")))
+    pairs = stored(met.select("node", F.explode("m.b").alias("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
     # one of two small sets is the other without one shingle: the whole digest decides
     smaller = distinct.where(F.col("size").between(4, FEW_SHINGLES - 1)).select(F.col("node").alias("b"), "d0", "d1")
     less = distinct.where(F.size("less") > 0).select(F.col("node").alias("a"), F.explode("less").alias("l")).select("a", "l.d0", "l.d1")
-    by_hash = less.join(smaller, ["d0", "d1"]).select("a", "b").distinct()
-    edges = stored(by_hash)
+    by_digest = less.join(smaller, ["d0", "d1"]).select("a", "b").distinct()
+    need = stored(met.select("node").join(distinct.select("node", "h", "n"), "node"))
+    sets = stored(_sets(docs, need, words))
+    edges = stored(by_digest.union(_alike(pairs, sets, least)))
     tree = components(edges)
-    if not met.limit(1).count():
+    open_ = wide.drop("root").join(need.select("node"), "node").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = stored(candidates(open_, n, least=least).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+    if not rest.limit(1).count():
         return tree
-    need = met.select(F.col("a").alias("node")).union(met.select("b")).distinct().join(distinct.select("node", "h", "n"), "node")
-    sets = stored(_sets(docs, stored(need), words))
-    open_ = met
-    for turn in range(NEAREST_ROUNDS + 1):
-        now = open_
-        if turn or edges.limit(1).count():
-            of = lambda side: tree.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-            now = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "apart")
-        now = stored(now)
-        both = now.select(F.col("a").alias("node"), "apart", "a", "b").union(now.select("b", "apart", "a", "b"))
-        nearest = both.groupBy("node").agg(F.min(F.struct("apart", F.xxhash64("a", "b"), "a", "b")).alias("m")).select("node", "m.a", "m.b")
-        nearest = stored(nearest)
-        n_open, n_nodes = now.count(), nearest.count()
-        if not n_open:
-            break
-        last = turn == NEAREST_ROUNDS or n_open <= OPEN_PAIRS * n_nodes
-        pairs = now.select("a", "b") if last else stored(nearest.select("a", "b").distinct())
-        edges = stored(edges.union(_alike(pairs, sets, least)))
-        tree = components(edges)
-        if last:
-            break
-        open_ = now.join(pairs, ["a", "b"], "left_anti")
-    return tree
+    more = stored(_alike(rest, sets, least))
+    return components(edges.union(more)) if more.limit(1).count() else tree
 
 
 def alike_classes(docs: DataFrame, words: int = 5, least: float = SIMILAR) -> DataFrame:
