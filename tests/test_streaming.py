@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ def test_append_refuses_overlap(spark, tmp_path):
     put(batch(4, 6), 1)
     with pytest.raises(ValueError, match="stored data end"):
         put(batch(6, 8), 2)
+    put(batch(4, 6), 1)  # run again after a lost driver
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
 
 
@@ -32,11 +34,26 @@ def test_months_left(spark):
 
 
 def test_agents_move_and_obey(spark, tmp_path):
-    rows = [(1, 0, "wind", 10.0, 0.0, 0), (1, 1, "control", None, None, 1), (1, 2, "wind", 5.0, 0.0, 0), (1, 3, "wind", 0.0, 2.0, 1)]
-    schema = "agent long, seq long, kind string, u double, v double, level long"
+    """A constant wind on level 1, none on level 0; then no chunk holds the place and the agent waits."""
+    shape = (4, 2, 12, 12)
+    u = [0.0] * 144 + [10.0] * 144
+    chunk = (1, 0, "chunk", None, None, 0.0, 0.0, 0.0, list(shape), u * 4, [0.0] * 1152)
+    rows = [chunk, (1, 1, "tick", 0.1, *[None] * 7), (1, 2, "control", None, 1, *[None] * 6), (1, 3, "tick", 0.1, *[None] * 7), (2, 4, "tick", 0.1, *[None] * 7)]
+    schema = "agent long, seq long, kind string, hours double, level int, t0 double, y0 double, x0 double, shape array<int>, u array<double>, v array<double>"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = incremental.agents(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    out = incremental.agents(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), start=(0.0, 2.0, 2.0))
     q = out.writeStream.format("memory").queryName("agents_out").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     r = spark.sql("select * from agents_out").where(F.col("agent") == 1).first()
-    assert (r["x"], r["y"], r["level"], r["n"], r["trail"]) == (10.0, 2.0, 1, 2, 2)
+    assert (round(r["x"], 6), r["y"], r["level"], r["n"], r["trail"], r["u"], r["waiting"]) == (5.6, 2.0, 1, 2, 2, 10.0, False)
+    assert spark.sql("select * from agents_out").where(F.col("agent") == 2).first()["waiting"]
+
+
+def test_agents_take_the_wind_half_way():
+    u = np.broadcast_to(np.arange(12.0), (4, 1, 12, 12))
+    c = incremental.Chunk(0, 0, 0, u, np.zeros_like(u))
+    c = incremental.Chunk.unpacked(c.packed())
+    t, y, x, *wind = incremental.advance([c], 0.0, 3.0, 2.0, 0, 0.5, (1800.0, 1800.0))
+    assert wind == [3.0, 0.0] and (t, y, x) == (0.5, 3.0, 5.0)  # u = x: half a step from 2 is 3
+    assert incremental.advance([c], 0.0, 3.0, 9.0, 0, 0.5, (1800.0, 1800.0))[3] == 9.0  # half the way is outside
+    assert incremental.advance([c], 3.0, 3.0, 9.0, 0, 0.5, (1800.0, 1800.0)) is None

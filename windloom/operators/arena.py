@@ -30,9 +30,11 @@ def step_cost(i: Column, j: Column, target, radius: float, cost: float = 1.0, me
     return F.when(distance(i, j, target, metric) <= radius, 0.0).otherwise(-cost)
 
 
-def navigation_reward(i: Column, j: Column, target, radius: float, bonus: float = 10.0, weight: float = 0.1, metric: str = "euclidean") -> Column:
-    d = distance(i, j, target, metric)
-    return F.when(d <= radius, F.lit(bonus)).otherwise(-weight * d)
+def navigation_reward(i: Column, j: Column, target, peak: float = 10.0, cost: float = 0.1, scale: float = 0.1, metric: str = "euclidean") -> Column:
+    """Never negative: the peak less the step's cost at the target, falling off with the inverse of distance."""
+    if not 0 <= cost < peak or scale <= 0:
+        raise ValueError("the peak must exceed the cost, which isn't negative, and the scale be positive")
+    return (peak - cost) / (1.0 + scale * distance(i, j, target, metric))
 
 
 def boundary(i: Column, n: int, mode: str) -> tuple[Column, Column]:
@@ -71,7 +73,7 @@ def clipped_gaussian(scale: float, noise: float, most: int) -> np.ndarray:
 
 @dataclass
 class Arena:
-    """Ambient drift along i from a field grid (n_x, n_y), control along j."""
+    """Ambient drift along i from a field grid (n_x, n_y), control along j. The agent sees ``seen`` (by default the field itself)."""
 
     field: np.ndarray
     scale: float = 1.0
@@ -81,23 +83,28 @@ class Arena:
     target: tuple[float, float] = (8.0, 8.0)
     radius: float = 1.0
     process_noise: float = 0.0
+    seen: np.ndarray | None = None
+    seen_noise: float = 0.0
 
-    def at(self, i: float, j: float) -> float:
-        n_x, n_y = self.field.shape
-        return float(self.field[min(max(round(i), 1), n_x) - 1, min(max(round(j), 1), n_y) - 1])
+    def at(self, field: np.ndarray, i: float, j: float, noise: float, rng) -> float:
+        """A drift at a place, with noise, within ``most``."""
+        n_x, n_y = field.shape
+        u = float(field[min(max(round(i), 1), n_x) - 1, min(max(round(j), 1), n_y) - 1])
+        return min(max(u + (noise * rng.standard_normal() if noise else 0.0), -self.most), self.most)
 
     def step(self, i: float, j: float, action: int, rng) -> tuple[float, float, float, bool, bool]:
-        """i, j, observed drift, left the grid, reached."""
+        """i, j, observed drift, left the grid, reached. True and observed drift are both read where the step begins."""
         n_x, n_y = self.field.shape
-        drift = min(max(self.at(i, j) + self.process_noise * rng.standard_normal(), -self.most), self.most)
+        drift = self.at(self.field, i, j, self.process_noise, rng)
+        seen = self.at(self.field if self.seen is None else self.seen, i, j, self.seen_noise, rng)
         i2, j2 = i + drift, j + min(max(self.scale * (action - 1) + self.noise * rng.standard_normal(), -self.most), self.most)
         left = not (1 <= i2 <= n_x and 1 <= j2 <= n_y)
         if self.mode == "clip":
-            i2, j2, left = min(max(i2, 1.0), float(n_x)), min(max(j2, 1.0), float(n_y)), False
+            i2, j2 = min(max(i2, 1.0), float(n_x)), min(max(j2, 1.0), float(n_y))
         elif self.mode == "periodic":
             i2, j2, left = (i2 - 1) % n_x + 1, min(max(j2, 1.0), float(n_y)), False
         reached = math.hypot(i2 - self.target[0], j2 - self.target[1]) <= self.radius
-        return i2, j2, self.at(i2, j2), left, reached
+        return i2, j2, seen, left, reached
 
 
 Policy = Callable[[float, float, int, np.random.Generator], int]

@@ -1,12 +1,14 @@
 """Distances between distributions of two fields, by exact quantiles.
 
 Quantiles interpolate linearly between order statistics. A group's values are first counted (equal values
-meet before the shuffle), its range is cut into bins, and ranks are found within bins: no task holds a whole
-group, however large, and heavy ties cost nothing.
+meet before the shuffle) and cut into bins of about equally many different values, at edges that a sketch of the
+group gives; ranks are found within bins. So no task holds a whole group, ties cost nothing, and an outlier or a heavy
+tail doesn't crowd a bin. The edges only deal rows out: the quantiles are exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 # Quantile grid of the Wasserstein distance, tail pairs.
 N_QUANTILES = 1024
 TAILS = {"1%": (0.01, 0.99), "0.1%": (0.001, 0.999)}
-#: Bins that a group's range is cut into.
+#: Bins that a group is cut into: a square number, as a value's bin is found in two steps.
 BINS = 256
 
 
@@ -25,21 +27,36 @@ def grid(n: int = N_QUANTILES) -> list[float]:
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], bins: int = BINS) -> DataFrame:
     """by, k (position in qs), q: null and NaN values, and rows with a null key, take no part."""
-    by = list(by)
+    by, step = list(by), math.isqrt(bins)
     kept = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
-    edge = kept.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_all"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    binned = (kept.join(edge, by) if by else kept.crossJoin(edge)).select(*by, "_x", "_n", F.least(F.lit(bins - 1), F.floor(width * bins)).cast("int").alias("_bin"))
-    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    start = binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    within = Window.partitionBy(*by, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = binned.withColumn("_c", F.sum("_n").over(within))
-    asked = df.sparkSession.createDataFrame([(k, float(q)) for k, q in enumerate(qs)], "k int, _q double")
-    wanted = edge.select(*by, "_all").crossJoin(F.broadcast(asked))  # as many rows as quantiles
-    at = F.col("_q") * (F.col("_all") - 1)
+    cuts = F.percentile_approx("_x", [i / (step * step) for i in range(1, step * step)], 4 * bins)
+    group = kept.groupBy(*by).agg(F.sum("_n").alias("_all"), cuts.alias("_cuts")).withColumn("_every", F.filter("_cuts", lambda c, i: (i + 1) % step == 0))
+    # how many edges are at most x: first among every step-th, then among those after it
+    upto = F.size(F.filter("_every", lambda c: c <= F.col("_x")))
+    binned = (kept.join(F.broadcast(group) if not by else group, by) if by else kept.crossJoin(F.broadcast(group))).withColumn("_k", upto)
+    binned = binned.select(*by, "_x", "_n", (F.col("_k") * step + F.size(F.filter(F.slice("_cuts", F.col("_k") * step + 1, F.lit(step - 1)), lambda c: c <= F.col("_x")))).alias("_bin"))
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("q")) for k, q in enumerate(qs)]) if len(qs) <= 64 else None
+    if asked is None:
+        wanted = group.select(*by, "_all").crossJoin(F.broadcast(df.sparkSession.createDataFrame([(k, float(q)) for k, q in enumerate(qs)], "k int, q double")))  # as many rows as quantiles
+    else:
+        wanted = group.select(*by, "_all", F.explode(asked).alias("a")).select(*by, "_all", "a.k", "a.q")
+    at = F.col("q") * (F.col("_all") - 1)
     wanted = wanted.select(*by, "k", at.alias("_at"), F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("_r"))
-    placed = (wanted.join(start, by) if by else wanted.crossJoin(start)).where("_r >= _before and _r < _before + _m")
-    hit = placed.join(ranked, [*by, "_bin"]).where("_r - _before < _c and _r - _before >= _c - _n")
+    # a rank falls into the last bin that begins at it or before
+    sizes = binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select(*by, "_bin", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    none = lambda t: F.lit(None).cast(t)
+    line = start.select(*by, F.col("_before").alias("_pos"), F.lit(0).alias("_ask"), "_bin", "_before", none("int").alias("k"), none("double").alias("_at"), none("long").alias("_r"))
+    line = line.unionByName(wanted.select(*by, F.col("_r").alias("_pos"), F.lit(1).alias("_ask"), none("int").alias("_bin"), none("long").alias("_before"), "k", "_at", "_r"))
+    upto_here = Window.partitionBy(*by).orderBy("_pos", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = line.withColumns({"_bin": F.last("_bin", True).over(upto_here), "_before": F.last("_before", True).over(upto_here)}).where("_ask = 1")
+    # and within its bin to the first value whose running count is beyond it
+    running = Window.partitionBy(*by, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = binned.select(*by, "_bin", F.sum("_n").over(running).cast("double").alias("_pos"), "_x", none("int").alias("k"), none("double").alias("_at"), none("long").alias("_r"))
+    within = within.unionByName(placed.select(*by, "_bin", (F.col("_r") - F.col("_before") + 0.5).alias("_pos"), none("double").alias("_x"), "k", "_at", "_r"))
+    from_here = Window.partitionBy(*by, "_bin").orderBy("_pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    hit = within.withColumn("_x", F.first("_x", True).over(from_here)).where("k is not null")
     frac = F.col("_at") - F.floor("_at")
     part = F.when(F.col("_r") == F.floor("_at"), 1 - frac).otherwise(0.0) + F.when((F.col("_r") == F.ceil("_at")) & (F.ceil("_at") != F.floor("_at")), frac).otherwise(0.0)
     return hit.groupBy(*by, "k").agg(F.sum(F.col("_x") * part).alias("q"))

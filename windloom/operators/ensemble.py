@@ -52,7 +52,9 @@ def multiscale_patch_distance(pred: DataFrame, ref: DataFrame, side: int, factor
     a, b = standardise(pred, ref), standardise(ref, ref)
     out = None
     for f in factors:
-        if side // f < patch:
+        if side // f < patch:  # no patch fits: said, not left out
+            one = pred.sparkSession.createDataFrame([(f, float("nan"))], "factor int, distance double")
+            out = one if out is None else out.unionByName(one)
             continue
         pa, pb = (patches(aggregate.pooled(x, ["s", "level"], f, side), side // f, patch, count, seed + f) for x in (a, b))
         one = sliced_distance(pa, pb, 2 * patch * patch, projections, seed).select(F.lit(f).alias("factor"), "distance")

@@ -7,6 +7,7 @@ and adds up weighted windows: sum(w * value) / sum(w). Each further round needs
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -14,21 +15,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.functions.noise import normal, ramp
+from windloom.functions.noise import coordinate_normal, ramp
 
 Denoiser = Callable[[np.ndarray, int], np.ndarray]
 
 
-def toy_denoiser(values: np.ndarray, level: int, slope: float = -3.0, k0: float = 0.05, rms: float = 15.0) -> np.ndarray:
-    """A divergence-free (2, h, w) field from (2, h, w) noise: the first channel is a vorticity, filtered to a power law."""
-    _, h, w = values.shape
-    ky, kx = np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None, :]
-    k2 = kx**2 + ky**2
-    amp = (k2 + k0**2) ** ((slope - 1) / 4) / np.sqrt(k2 + k0**2)
-    psi = np.fft.fft2(values[0]) * np.where(k2 > 0, amp, 0)
-    u, v = np.fft.ifft2(2j * np.pi * ky * psi).real, -np.fft.ifft2(2j * np.pi * kx * psi).real
-    scale = np.sqrt((u**2 + v**2).mean()) or 1.0
-    return np.stack([u, v]) * (rms / scale)
+def toy_denoiser(values: np.ndarray, level: int = 0, slope: float = -3.0, k0: float = 0.05, rms: float = 15.0, levels: float = 1.0) -> np.ndarray:
+    """A divergence-free field from noise of the same shape, (2 * n, h, w): u and v of level after level.
+
+    The stream function has the phases of the noise's vorticity and amplitudes of a power law, so that the spectrum of
+    winds has the slope; levels are blended by exponential weights (over ``levels`` of them), speeds scaled to ``rms``.
+    """
+    n, h, w = values.shape[0] // 2, *values.shape[1:]
+    ky, kx = 2 * np.pi * np.fft.fftfreq(h)[:, None], 2 * np.pi * np.fft.fftfreq(w)[None, :]
+    k = np.hypot(kx, ky)
+    u, v = np.fft.fft2(values[0::2]), np.fft.fft2(values[1::2])
+    vorticity = 1j * kx * v - 1j * ky * u
+    stream = np.where(k > 0, (k0 + k) ** ((slope - 2) / 2), 0.0) * np.exp(1j * np.angle(-vorticity))
+    out = np.stack([np.fft.ifft2(-1j * ky * stream).real, np.fft.ifft2(1j * kx * stream).real], axis=1)
+    if levels > 0 and n > 1:
+        near = np.exp(-abs(np.subtract.outer(np.arange(n), np.arange(n))) / levels)
+        out = np.einsum("lm,mchw->lchw", near / near.sum(axis=1, keepdims=True), out)
+    return out.reshape(values.shape) * (rms / max(np.sqrt((out**2).sum(axis=1).mean()), 1e-12))
 
 
 def box(spark: SparkSession, y0: int, y1: int, x0: int, x1: int, t0: int = 0, t1: int = 1) -> DataFrame:
@@ -39,7 +47,7 @@ def box(spark: SparkSession, y0: int, y1: int, x0: int, x1: int, t0: int = 0, t1
 
 def coordinate_noise(cells: DataFrame, channels: int, seed: int) -> DataFrame:
     """cells with c0, c1, ..: standard normal values of (seed, channel, t, y, x)."""
-    return cells.select("*", *(normal(F.lit(seed), F.lit(c), F.col("t"), F.col("y"), F.col("x")).alias(f"c{c}") for c in range(channels)))
+    return coordinate_normal(cells, channels, seed)
 
 
 def windows_of(at: Column, window: int, stride: int) -> Column:
@@ -144,16 +152,34 @@ class ChartField:
         return made.groupBy("t", "y", "x").agg((F.sum(F.col("w") * F.col("u")) / F.sum("w")).alias("u"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 
-def query_log(field: InfiniteField, spark: SparkSession, points: list[tuple[int, int]]) -> DataFrame:
-    """y, x, u, v, seed, seconds of point queries, each made alone."""
-    import time
+def query_log(field: InfiniteField, points: DataFrame) -> DataFrame:
+    """y, x, u, v, seed, seconds of point queries (y, x): every point's own box is made in one task, as if asked alone."""
+    spark = points.sparkSession
+    win, stride, depth, denoise, edge, seed = field.window, field.stride, field.depth, field.denoiser, field.edge, field.seed
+    side = 2 * win * depth + 1
+    reach = spark.range(side * side).select((F.floor(F.col("id") / side) - win * depth).cast("int").alias("dy"), (F.col("id") % side - win * depth).cast("int").alias("dx"))
+    cells = points.select(F.col("y").alias("py"), F.col("x").alias("px")).distinct().crossJoin(F.broadcast(reach))  # a point's box, of a fixed size
+    cells = coordinate_noise(cells.select("py", "px", F.lit(0).alias("t"), (F.col("py") + F.col("dy")).alias("y"), (F.col("px") + F.col("dx")).alias("x")), 2, seed)
 
-    rows = []
-    for y, x in points:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         began = time.perf_counter()
-        r = field.materialise(spark, y, y + 1, x, x + 1).first()
-        rows.append((y, x, r["u"], r["v"], field.seed, time.perf_counter() - began))
-    return spark.createDataFrame(rows, "y int, x int, u double, v double, seed int, seconds double")
+        pdf = pdf.sort_values(["y", "x"])
+        now = pdf[["c0", "c1"]].to_numpy().T.reshape(2, side, side)
+        y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
+        mid = (win - 1) / 2
+        r = 1 - (1 - edge) * np.abs(np.arange(win) - mid) / mid
+        weights = np.outer(r, r)
+        for _ in range(depth):
+            total, weight = np.zeros_like(now), np.zeros(now.shape[1:])
+            for a in range(-y0 % stride, now.shape[1] - win + 1, stride):
+                for b in range(-x0 % stride, now.shape[2] - win + 1, stride):
+                    total[:, a : a + win, b : b + win] += weights * denoise(now[:, a : a + win, b : b + win], field.level)
+                    weight[a : a + win, b : b + win] += weights
+            now = (total / np.maximum(weight, 1e-300))[:, win:-win, win:-win]
+            y0, x0 = y0 + win, x0 + win
+        return pd.DataFrame({"y": [key[0]], "x": [key[1]], "u": [now[0, 0, 0]], "v": [now[1, 0, 0]], "seed": [seed], "seconds": [time.perf_counter() - began]}).astype({"y": "int32", "x": "int32", "seed": "int64"})
+
+    return cells.groupBy("py", "px").applyInPandas(one, "y int, x int, u double, v double, seed long, seconds double")
 
 
 def repeats_exactly(field: InfiniteField, spark: SparkSession, *bounds: int) -> bool:

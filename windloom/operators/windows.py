@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 # Lags of the structure function, floor of the cosine's denominator, coherence threshold, spacing in km, gap factor, least frames.
 LAGS = (1, 2, 4, 8, 16)
-COSINE_FLOOR = 1e-6
+COSINE_FLOOR, MEAN_FLOOR = 1e-6, 1e-12
 COHERENCE, SPACING_KM = 0.5, 27.83
 GAP, LEAST_FRAMES = 1.5, 16
 
@@ -23,31 +23,41 @@ def along(axis: str, *keys: str) -> Window:
     return Window.partitionBy(*keys, *other).orderBy(axis)
 
 
-def jumps(cells: DataFrame, keys: Sequence[str], lag: int = 1, axes: Sequence[str] = ("x", "y")) -> DataFrame:
-    """keys, axis, at (place before the jump), du, dv, jump: increments to the lag-th neighbour, axes stacked."""
+def neighbours(cells: DataFrame, keys: Sequence[str], lags: Sequence[int] = (1,), axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """keys, axis, lag, at (place of the first cell), line, u, v, u1, v1: cells with their lag-th neighbours, axes stacked.
+
+    All lags of an axis are read in one window.
+    """
     out = None
     for axis in axes:
         w = along(axis, *keys)
-        one = cells.select(*keys, F.lit(axis).alias("axis"), F.col(axis).alias("at"), *({"x": ["y"], "y": ["x"], "t": ["y", "x"]}[axis]), (F.lead("u", lag).over(w) - F.col("u")).alias("du"), (F.lead("v", lag).over(w) - F.col("v")).alias("dv"))
-        one = one.where("du is not null").select(*keys, "axis", "at", F.col({"x": "y", "y": "x", "t": "y"}[axis]).alias("line"), "du", "dv")
+        ahead = F.array(*[F.struct(F.lit(lag).alias("lag"), F.lead("u", lag).over(w).alias("u1"), F.lead("v", lag).over(w).alias("v1")) for lag in lags])
+        one = cells.select(*keys, F.lit(axis).alias("axis"), F.col(axis).alias("at"), F.col({"x": "y", "y": "x", "t": "y"}[axis]).alias("line"), "u", "v", ahead.alias("n"))
+        one = one.withColumn("n", F.explode("n")).select(*keys, "axis", "n.lag", "at", "line", "u", "v", "n.u1", "n.v1").where("u1 is not null")
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("jump", F.sqrt(F.col("du") * F.col("du") + F.col("dv") * F.col("dv")))
+    return out
+
+
+def jumps(cells: DataFrame, keys: Sequence[str], lag: int = 1, axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """neighbours with du, dv, jump: increments to the lag-th neighbour and their length."""
+    return _increments(neighbours(cells, keys, (lag,), axes))
+
+
+def _increments(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"du": F.col("u1") - F.col("u"), "dv": F.col("v1") - F.col("v")}).withColumn("jump", F.sqrt(F.col("du") * F.col("du") + F.col("dv") * F.col("dv")))
 
 
 def boundary_coherence(cells: DataFrame, keys: Sequence[str], stride: int) -> DataFrame:
-    """One row: jump and squared-jump ratio of tile boundaries to all, mean direction cosines there and overall, their gap."""
-    j = jumps(cells, keys)
-    w = Window.partitionBy(*keys, "axis", "line").orderBy("at")
-    seam = F.pmod(F.col("at") + 1, F.lit(stride)) == 0
-    nu, nv, nj = (F.lead(c).over(w) for c in ("du", "dv", "jump"))
-    cosine = F.when(nj.isNotNull(), (F.col("du") * nu + F.col("dv") * nv) / F.greatest(F.col("jump") * nj, F.lit(COSINE_FLOOR)))
-    j = j.withColumn("cosine", cosine).withColumn("seam", seam)
+    """One row: jump and squared-jump ratio of tile boundaries to all, mean cosine of the vectors on both sides of a boundary and of all neighbours, the latter less the former."""
+    length = lambda a, b: F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b))
+    cosine = (F.col("u") * F.col("u1") + F.col("v") * F.col("v1")) / F.greatest(length("u", "v") * length("u1", "v1"), F.lit(COSINE_FLOOR))
+    j = jumps(cells, keys).withColumns({"cosine": cosine, "square": F.col("jump") * F.col("jump"), "seam": F.pmod(F.col("at") + 1, F.lit(stride)) == 0})
+    at_seams = lambda c: F.avg(F.when(F.col("seam"), F.col(c)))
     one = j.agg(
-        (F.avg(F.when(F.col("seam"), F.col("jump"))) / F.avg("jump")).alias("jump_ratio"),
-        (F.avg(F.when(F.col("seam"), F.col("jump") * F.col("jump"))) / F.avg(F.col("jump") * F.col("jump"))).alias("squared_ratio"),
-        F.avg(F.when(F.col("seam"), F.col("cosine"))).alias("seam_cosine"), F.avg("cosine").alias("all_cosine"),
+        (at_seams("jump") / F.greatest(F.avg("jump"), F.lit(MEAN_FLOOR))).alias("jump_ratio"), (at_seams("square") / F.greatest(F.avg("square"), F.lit(MEAN_FLOOR))).alias("squared_ratio"),
+        at_seams("cosine").alias("seam_cosine"), F.avg("cosine").alias("all_cosine"),
     )
-    return one.withColumn("direction_gap", F.abs(F.col("all_cosine") - F.col("seam_cosine")))
+    return one.withColumn("direction_gap", F.col("all_cosine") - F.col("seam_cosine"))
 
 
 def seam_ratios(cells: DataFrame, keys: Sequence[str], stride: int, axes: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -57,12 +67,9 @@ def seam_ratios(cells: DataFrame, keys: Sequence[str], stride: int, axes: Sequen
 
 
 def structure_function(cells: DataFrame, keys: Sequence[str], lags: Sequence[int] = LAGS) -> DataFrame:
-    """lag, s2: mean squared vector increment, averaged over x and y."""
-    out = None
-    for lag in lags:
-        one = jumps(cells, keys, lag).groupBy("axis").agg(F.avg(F.col("jump") * F.col("jump")).alias("m")).agg(F.avg("m").alias("s2"), F.count("*").alias("axes")).where("axes = 2").select(F.lit(lag).alias("lag"), "s2")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """lag, s2: mean squared vector increment, averaged over x and y; lags that fit both axes."""
+    by_axis = _increments(neighbours(cells, keys, lags)).groupBy("lag", "axis").agg(F.avg(F.col("jump") * F.col("jump")).alias("m"))
+    return by_axis.groupBy("lag").agg(F.avg("m").alias("s2"), F.count("*").alias("axes")).where("axes = 2").select("lag", "s2")
 
 
 def increment_kurtosis(cells: DataFrame, keys: Sequence[str], lag: int = 2, value: str = "du") -> DataFrame:
@@ -91,13 +98,8 @@ def correlation_curve(cells: DataFrame, keys: Sequence[str], lags: Sequence[int]
     """lag, correlation: vector autocorrelation by lag after removing each plane's mean, x and y averaged, 1 at lag 0."""
     plane = Window.partitionBy(*keys)
     c = cells.withColumn("u", F.col("u") - F.avg("u").over(plane)).withColumn("v", F.col("v") - F.avg("v").over(plane))
-    out = None
-    for lag in lags:
-        for axis in ("x", "y"):
-            w = along(axis, *keys)
-            one = c.select((F.col("u") * F.lead("u", lag).over(w) + F.col("v") * F.lead("v", lag).over(w)).alias("p")).agg(F.avg("p").alias("p")).select(F.lit(lag).alias("lag"), "p")
-            out = one if out is None else out.unionByName(one)
-    curve = out.groupBy("lag").agg(F.avg("p").alias("p"))
+    products = neighbours(c, keys, lags).groupBy("lag", "axis").agg(F.avg(F.col("u") * F.col("u1") + F.col("v") * F.col("v1")).alias("p"))
+    curve = products.groupBy("lag").agg(F.avg("p").alias("p"))
     zero = curve.where("lag = 0").select(F.col("p").alias("p0"))
     return curve.crossJoin(F.broadcast(zero)).select("lag", (F.col("p") / F.col("p0")).alias("correlation"))
 
@@ -175,20 +177,24 @@ def frame_pairs(segmented: DataFrame, k: int, keys: Sequence[str] = ()) -> DataF
     return segmented.withColumns({"next_u": F.lead("u", k).over(w), "next_v": F.lead("v", k).over(w)}).where("next_u is not null")
 
 
-def advantages(rollout: DataFrame, keys: Sequence[str], gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
-    """keys, gae (array in step order): generalised advantages of reward, value, done by step; the value after the last step is 0.
+def advantages(rollout: DataFrame, keys: Sequence[str], gamma: float = 0.99, lam: float = 0.95, last_value: str | None = None, last_done: str | None = None) -> DataFrame:
+    """keys, gae, returns (arrays in step order): generalised advantages of reward, value, done by step, and advantages plus values.
 
+    ``done`` says that an episode begins with its step: what follows a step counts unless the next step is done. What
+    follows the last one is in the columns ``last_value`` and ``last_done`` (equal within a rollout; else 0 and not done).
     A recurrence from the end, as an aggregate over each rollout's ordered array.
     """
-    steps = rollout.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "reward", "value", "done"))).alias("s"))
+    last = [(F.first(F.col(c).cast(t)) if c else F.lit(zero)).alias(n) for c, t, zero, n in ((last_value, "double", 0.0, "_v"), (last_done, "boolean", False, "_d"))]
+    steps = rollout.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "reward", "value", "done"))).alias("s"), *last)
 
     def back(acc, s):
-        alive = F.when(s["done"], 0.0).otherwise(1.0)
-        adv = s["reward"] + gamma * acc["next"] * alive - s["value"] + gamma * lam * alive * acc["adv"]
-        return F.struct(s["value"].alias("next"), adv.alias("adv"), F.concat(F.array(adv), acc["out"]).alias("out"))
+        goes_on = F.when(acc["done"], 0.0).otherwise(1.0)
+        adv = s["reward"] + gamma * acc["value"] * goes_on - s["value"] + gamma * lam * goes_on * acc["adv"]
+        return F.struct(s["value"].alias("value"), s["done"].alias("done"), adv.alias("adv"), F.concat(F.array(adv), acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("adv"), F.array().cast("array<double>").alias("out"))
-    return steps.select(*keys, F.aggregate(F.reverse("s"), start, back)["out"].alias("gae"))
+    start = F.struct(F.col("_v").alias("value"), F.col("_d").alias("done"), F.lit(0.0).alias("adv"), F.array().cast("array<double>").alias("out"))
+    gae = steps.select(*keys, F.aggregate(F.reverse("s"), start, back)["out"].alias("gae"), F.col("s.value").alias("_values"))
+    return gae.select(*keys, "gae", F.zip_with("gae", "_values", lambda a, v: a + v).alias("returns"))
 
 
 def regret(values: DataFrame, keys: Sequence[str], best: float, order: str = "step") -> DataFrame:

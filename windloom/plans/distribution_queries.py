@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from windloom.functions.noise import derived_seed
 from windloom.operators import aggregate, align, arena, boards, distributions
 from windloom.plans.base import query, rounded
-from windloom.sources.views import CALENDAR_SQL, CELLS_SQL, RUNS_SQL, SAMPLES_SQL, calendar, cells, runs, samples, table
+from windloom.plans.spectral_sql import WINDOWED_SQL
+from windloom.sources.views import CALENDAR_SQL, CELLS_SQL, RUNS_SQL, SAMPLES_SQL, calendar, cells, runs, samples, slices, table
 
 #: SQL for the 1024 quantiles of a column by level of one part.
 _QS = "[i / 1023.0::double for i in range(1024)]"
@@ -24,11 +25,6 @@ def _w1_sql(c: str) -> str:
 W1_SQL = f"with {SAMPLES_SQL} {_w1_sql('u')} union all {_w1_sql('v')}"
 
 
-@query(W1_SQL)
-def flagship_board(spark, d):
-    return marginal_w1(spark, d)
-
-
 @query(W1_SQL)
 def marginal_w1(spark, d):
     s = samples(spark, d)
@@ -62,6 +58,40 @@ def conditional_w1(spark, d):
     return rounded(distributions.conditional_w1(s.where("part = 'A'"), s.where("part = 'R'"), ["month"]), 4)
 
 
+def _pooled_shear_sql(c: str) -> str:
+    """Differences of neighbouring levels of one order's lines by a fixed thickness, all levels pooled."""
+    side = lambda f: f"(select unnest(quantile_cont((x - x1) / (100.0 + 10 * level) * 1000, {_QS})) as q, unnest(range(1024)) as i from (select level, {c} as x, lead({c}) over (partition by o order by level) as x1 from lines where part = '{f}') where x1 is not null)"
+    return f"select 'W1 shear {c} ((m/s)/km)' as metric, (select avg(abs(a.q - b.q)) from {side('A')} a join {side('R')} b using (i)) as value"
+
+
+_BOARD_SQL = f"""with {SAMPLES_SQL}, {WINDOWED_SQL},
+ lines as (select l_orderkey as o, l_linenumber as level, min(l_returnflag) as part, avg(l_extendedprice) as u, avg(l_quantity) as v from lineitem group by 1, 2),
+ qq as (select level, part, quantile_cont(u, [0.01, 0.99, 0.001, 0.999]) as qu, quantile_cont(v, [0.01, 0.99, 0.001, 0.999]) as qv from samples where part in ('A', 'R') group by 1, 2),
+ tails as (select a.qu as au, b.qu as bu, a.qv as av, b.qv as bv from qq a join qq b on a.level = b.level and a.part = 'A' and b.part = 'R'),
+ board as (
+  select 'SR_' || kind as metric, sqrt(avg(pow(ln(a) - ln(b), 2))) as value from ab group by kind
+  union all select 'L_eff (km)', (select 8.0 / max(j + 1) from ab where kind = 'E')
+  union all {_pooled_shear_sql('u')} union all {_pooled_shear_sql('v')}
+  union all select 'W1 ' || component || ' (m/s)', w1 from ({_w1_sql('u')} union all {_w1_sql('v')})
+  union all select 'tail err 1% (m/s)', avg((abs(au[1]-bu[1]) + abs(au[2]-bu[2]) + abs(av[1]-bv[1]) + abs(av[2]-bv[2])) / 4) from tails
+  union all select 'tail err 0.1% (m/s)', avg((abs(au[3]-bu[3]) + abs(au[4]-bu[4]) + abs(av[3]-bv[3]) + abs(av[4]-bv[4])) / 4) from tails
+  union all select 'W1 cond (m/s)', avg(w) from (select m, avg(w) as w from ({_cond('u')} union all {_cond('v')}) group by m)
+  union all select unnest(['SR_time', 'disp log-MSD RMSE', 'final spread ratio']), 'nan'::double)
+select metric, round(value, 3)::double as value from board"""
+
+
+@query(_BOARD_SQL)
+def flagship_board(spark, d):
+    """The metric suite of two parts of the samples: distributions, shear of lines of one order, conditional distances, and spectra of the planes' halves; the table has no tracks in time."""
+    s, p = samples(spark, d), slices(spark, d)
+    month = s.withColumn("month", F.month("time"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("level")).agg(F.min("l_returnflag").alias("part"), F.avg("l_extendedprice").alias("u"), F.avg("l_quantity").alias("v"))
+    thickness = spark.range(1, 8).select(F.col("id").cast("int").alias("level"), (100.0 + 10 * F.col("id")).alias("dz"))
+    side = lambda f: s.where(F.col("part") == f)
+    got = boards.run_suite(side("A"), side("R"), planes=(p.where("s % 2 = 0"), p.where("s % 2 = 1")), seeds=(month.where("part = 'A'"), month.where("part = 'R'"), ["month"]), thickness=thickness, column=["o"], shear=tuple(lines.where(F.col("part") == f) for f in "AR"))
+    return rounded(got.drop("ord"), 3)
+
+
 @query(f"with {SAMPLES_SQL}, c as (select least(19, cast(floor((v - 0) / 2.5) as bigint)) as bin from samples where v between 0 and 50) select b.i as bin, round(case when n.n is null then 'nan'::double else n.n / ((select count(*) from c) * 2.5) end, 6) as density from (select unnest(range(20)) as i) b left join (select bin, count(*) as n from c group by bin) n on n.bin = b.i")
 def histogram_density(spark, d):
     return rounded(distributions.histogram(samples(spark, d), "v", 0.0, 50.0, 20))
@@ -166,10 +196,11 @@ def split_halves(spark, d):
     return rounded(both.groupBy("half").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean")), 4)
 
 
-@query("with w as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30 23:00:00', interval 1 hour)) as t), h as (select distinct date_trunc('hour', ts) as t from events) select issue, count(*) as n, cast(min(t) as varchar) as first_time from (select 'missing' as issue, t from w where t not in (select t from h) union all select 'unexpected', t from h where t not in (select t from w)) group by issue")
+@query("with w as (select unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-30 23:00:00', interval 1 hour)) as t), h as (select distinct date_trunc('hour', ts) as t from events where event_id % 40 < 11) select issue, count(*) as n, cast(min(t) as varchar) as first_time from (select 'missing' as issue, t from w where t not in (select t from h) union all select 'unexpected', t from h where t not in (select t from w)) group by issue")
 def hourly_calendar(spark, d):
-    t = table(spark, d, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"))
-    g = aggregate.hourly_gaps(t, "2024-01-01 00:00:00", "2024-01-31 00:00:00")
+    """Hours of a part of the event ids, against a calendar that begins a day later: some are missing, some unexpected."""
+    t = table(spark, d, "events").where("event_id % 40 < 11").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"))
+    g = aggregate.hourly_gaps(t, "2024-01-02 00:00:00", "2024-01-31 00:00:00")
     return g.groupBy("issue").agg(F.count("*").alias("n"), F.date_format(F.min("time"), "yyyy-MM-dd HH:mm:ss").alias("first_time"))
 
 

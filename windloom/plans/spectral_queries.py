@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 from windloom.functions import noise
 from windloom.operators import arena, boards, crops, ensemble, fields, launcher, lazyfield, planning, spectra, temporal, windows
 from windloom.plans.base import query, rounded
+from windloom.plans.spectral_sql import WINDOWED_SQL
+from windloom.plans.window_queries import _JX, _JY, jumps_sql
 from windloom.sources import artifact
-from windloom.sources.views import CELLS_SQL, HOURLY_SQL, cells, hourly, runs, slices, table
+from windloom.sources.views import CELLS_SQL, HOURLY_SQL, RUNS_SQL, cells, hourly, runs, slices, table
 
-_DFT = f"""{CELLS_SQL}, c as (select s, y, x, u - avg(u) over (partition by s) as u, v - avg(v) over (partition by s) as v from cells where s < 60),
+_DFT = f"""{CELLS_SQL}, c as (select s, y, x, u - avg(u) over (partition by s) as u, v - avg(v) over (partition by s) as v from cells),
  w as (select ky, kx from (select unnest(range(8)) as ky), (select unnest(range(8)) as kx)),
  f as (select s, ky, kx, sum(u * cos(2*pi()*(ky*y + kx*x)/8.0)) as uc, sum(u * sin(2*pi()*(ky*y + kx*x)/8.0)) as us, sum(v * cos(2*pi()*(ky*y + kx*x)/8.0)) as vc, sum(v * sin(2*pi()*(ky*y + kx*x)/8.0)) as vs from c, w group by 1, 2, 3),
  power as (select s, ky, kx, 0.5 * (uc*uc + us*us + vc*vc + vs*vs) as power from f)"""
 
 
-@query(f"with {_DFT} select s, cast(ky as bigint) as ky, cast(kx as bigint) as kx, round(power, 6) as power from power where s < 10")
+@query(f"with {_DFT} select s, cast(ky as bigint) as ky, cast(kx as bigint) as kx, round(power, 6) as power from power")
 def relational_dft(spark, d):
-    return rounded(spectra.relational_power(cells(spark, d).where("s < 10"), ["s"], 8, 8))
+    return rounded(spectra.relational_power(cells(spark, d), ["s"], 8, 8))
 
 
 _SHELL = "sh as (select s, floor(sqrt(pow((case when ky < 4 then ky else ky - 8 end) / 8.0, 2) + pow((case when kx < 4 then kx else kx - 8 end) / 8.0, 2)) * 8 - 0.5) as j, power from power)"
@@ -29,13 +31,13 @@ _SHELL = "sh as (select s, floor(sqrt(pow((case when ky < 4 then ky else ky - 8
 
 @query(f"with {_DFT}, {_SHELL} select s, cast(j as bigint) as j, round(avg(power), 6) as p from sh where j >= 0 and j < 4 group by 1, 2")
 def shell_average(spark, d):
-    c = cells(spark, d).where("s < 60")
+    c = cells(spark, d)
     return rounded(spectra.shells(spectra.relational_power(c, ["s"], 8, 8), ["s"], 8, 8))
 
 
 @query(f"with {_DFT}, {_SHELL}, p as (select s, j, avg(power) as p from sh where j >= 0 and j < 4 group by 1, 2) select cast(j as bigint) as j, round(exp(avg(ln(p + 1e-30))), 6) as p from p group by j")
 def mean_spectrum(spark, d):
-    c = cells(spark, d).where("s < 60")
+    c = cells(spark, d)
     return rounded(spectra.mean_spectrum(spectra.shells(spectra.relational_power(c, ["s"], 8, 8), ["s"], 8, 8), ["j"]))
 
 
@@ -44,12 +46,16 @@ def _spectra(spark, d):
     return [spectra.mean_spectrum(spectra.plane_power(p.where(f"s % 2 = {k}"), ["s"], 8, 8)) for k in (0, 1)]
 
 
-@query()
+RESIDUAL_SQL = f"with {WINDOWED_SQL} select kind, round(sqrt(avg(pow(ln(a) - ln(b), 2))), 6) as residual from ab group by kind"
+
+
+@query(RESIDUAL_SQL)
 def spectral_residual(spark, d):
     return rounded(spectra.spectral_residual(*_spectra(spark, d)))
 
 
-@query()
+@query(f"""with {WINDOWED_SQL}, lo as (select j, (a / b < 0.5) as low from ab where kind = 'E'), r as (select j, count(*) over w as n, bool_and(low) over w as every from lo window w as (order by j rows between current row and 4 following)),
+ first as (select min((j + 1) / 8.0) as k from r where every and n = 5) select round(1 / coalesce((select k from first), (select max((j + 1) / 8.0) from lo)), 6)::double as l_eff, (select k from first) is null as resolved""")
 def effective_resolution(spark, d):
     return rounded(spectra.effective_resolution(*_spectra(spark, d)))
 
@@ -75,30 +81,36 @@ def patch_distance(spark, d):
     return rounded(ensemble.multiscale_patch_distance(c.where("s % 2 = 0"), c.where("s % 2 = 1"), 8))
 
 
-@query()
+_S2_SQL = " union all ".join(f"select {lag} as lag, side, avg(m) as s2 from (select s % 2 as side, axis, avg(du*du + dv*dv) as m from ({_JX.format(lag=lag)} union all {_JY.format(lag=lag)}) where du is not null group by 1, 2) group by side" for lag in (1, 2, 4))
+
+
+@query(f"with {CELLS_SQL}, q as ({_S2_SQL}) select round(sqrt(avg(pow(ln(a.s2 + 1e-30) - ln(b.s2 + 1e-30), 2))), 6) as rmse from q a join q b on a.lag = b.lag and a.side = 0 and b.side = 1")
 def structure_log_rmse(spark, d):
     c = cells(spark, d)
     return rounded(ensemble.structure_log_rmse(c.where("s % 2 = 0"), c.where("s % 2 = 1"), ["s"], (1, 2, 4)))
 
 
-@query()
+_SIDES = " union all ".join(f"select {lag} as lag, side, avg(p) as p from (select side, '{axis}' as axis, avg(u * lu + v * lv) as p from (select s % 2 as side, u, v, lead(u, {lag}) over w as lu, lead(v, {lag}) over w as lv from c window w as (partition by s, {other} order by {axis})) group by 1) group by side, lag" for lag in range(4) for axis, other in (("x", "y"), ("y", "x")))
+
+
+@query(f"with {CELLS_SQL}, c as (select s, y, x, u - avg(u) over (partition by s) as u, v - avg(v) over (partition by s) as v from cells), k as (select lag, side, avg(p) as p from ({_SIDES}) group by 1, 2), r as (select lag, side, p / first_value(p) over (partition by side order by lag) as r from k) select round(sqrt(avg(pow(a.r - b.r, 2))), 6) as rmse from r a join r b on a.lag = b.lag and a.side = 0 and b.side = 1")
 def correlation_rmse(spark, d):
     c = cells(spark, d)
     return rounded(ensemble.correlation_rmse(c.where("s % 2 = 0"), c.where("s % 2 = 1"), ["s"], range(4)))
 
 
-@query()
+@query(f"with {CELLS_SQL}, {jumps_sql()}, q as (select s % 2 as side, unnest(quantile_cont(jump, [i / 1023.0::double for i in range(1024)])) as x, unnest(range(1024)) as i from jumps group by 1) select round(avg(abs(a.x - b.x)), 6) as w1 from q a join q b on a.i = b.i and a.side = 0 and b.side = 1")
 def gradient_w1(spark, d):
     c = cells(spark, d)
     return rounded(ensemble.gradient_w1(c.where("s % 2 = 0"), c.where("s % 2 = 1"), ["s"]))
 
 
-@query(f"""with {CELLS_SQL}, m as (select s, s % 4 as g, s // 4 % 3 as m, y, x, u, v from cells where s < 96), a as (select g, m, y, x, avg(u) as u, avg(v) as v from m group by 1, 2, 3, 4),
+@query(f"""with {CELLS_SQL}, m as (select s, s % 4 as g, s // 4 % 3 as m, y, x, u, v from cells), a as (select g, m, y, x, avg(u) as u, avg(v) as v from m group by 1, 2, 3, 4),
  p as (select a.g, a.m as m1, b.m as m2, sqrt(avg((a.u - b.u) ** 2 + (a.v - b.v) ** 2)) as rms from a join a b on a.g = b.g and a.y = b.y and a.x = b.x and a.m < b.m group by 1, 2, 3) select g, round(avg(rms), 6) as rms from p group by g""")
 def pairwise_spread(spark, d):
     from windloom.operators.aggregate import pairwise_spread as spread
 
-    m = cells(spark, d).where("s < 96").groupBy((F.col("s") % 4).alias("g"), (F.floor(F.col("s") / 4) % 3).alias("m"), "y", "x").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
+    m = cells(spark, d).groupBy((F.col("s") % 4).alias("g"), (F.floor(F.col("s") / 4) % 3).alias("m"), "y", "x").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
     return rounded(spread(m, ["g"], "m", ["y", "x"]))
 
 
@@ -114,7 +126,9 @@ def tracer_dispersion(spark, d):
     return rounded(temporal.dispersion(p, ["segment"], 8, 8, 3600.0, 28000.0, 28000.0))
 
 
-@query()
+@query(f"""with {CELLS_SQL}, p as (select s, f.frame, y, x, greatest(0, least(6.999, y + f.frame * 5.0 * 3600 / 28000)) as yp, greatest(0, least(6.999, x - f.frame * 10.0 * 3600 / 28000)) as xp from cells, (select unnest(range(4)) as frame) f), q as (select *, cast(floor(yp) as integer) as j, cast(floor(xp) as integer) as i from p)
+ select q.s, q.frame::bigint as frame, q.y::bigint as y, q.x::bigint as x, round(sum(c.u * (case when c.y = j then 1 - (yp - j) else yp - j end) * (case when c.x = i then 1 - (xp - i) else xp - i end)), 6) as u, round(sum(c.v * (case when c.y = j then 1 - (yp - j) else yp - j end) * (case when c.x = i then 1 - (xp - i) else xp - i end)), 6) as v
+ from q join cells c on c.s = q.s and c.y between j and j + 1 and c.x between i and i + 1 group by 1, 2, 3, 4""")
 def advected_field(spark, d):
     return rounded(temporal.advected(slices(spark, d), ["s"], 4, 8, 8, (10.0, -5.0), 28000.0, 3600.0))
 
@@ -159,7 +173,12 @@ def coordinate_noise(spark, d):
     return rounded(lazyfield.coordinate_noise(lazyfield.box(spark, -8, 8, -8, 8, 0, 2), 2, 7))
 
 
-@query()
+_M64 = "18446744073709551616::uhugeint"
+
+
+@query(f"""with b as (select y, x from (select unnest(range(8)) as y), (select unnest(range(8)) as x)),
+ h as (select y, x, xor(xor((7::uhugeint * {0x9E3779B97F4A7C15}) % {_M64}, (y::uhugeint * {0xBF58476D1CE4E5B9}) % {_M64}), (x::uhugeint * {0x94D049BB133111EB}) % {_M64}) as h from b)
+ select y::integer as y, x::integer as x, (xor(h, h // 2147483648::uhugeint) % 9223372036854775808::uhugeint)::bigint as seed from h""")
 def tile_seeds(spark, d):
     return lazyfield.box(spark, 0, 8, 0, 8).select("y", "x", noise.tile_seed(F.lit(7), F.col("y"), F.col("x")).alias("seed"))
 
@@ -169,7 +188,7 @@ def infinite_field(spark, d):
     return rounded(lazyfield.InfiniteField(window=8, depth=2, seed=7).materialise(spark, 0, 16, 0, 16))
 
 
-@query()
+@query("select r::integer as round, cast(pow((64 + 64 * (1 - r) - 1) // 32 - ((-64 * (1 - r) - 64) // 32 + 1) + 1, 2) as bigint) as windows from (select unnest([0, 1]) as r)")
 def window_calls(spark, d):
     return lazyfield.InfiniteField(window=64, stride=32, depth=2).calls(spark, 0, 64, 0, 64)
 
@@ -184,7 +203,7 @@ def consensus_chart_field(spark, d):
     return rounded(lazyfield.ChartField(core=8, halo=4, window=8, stride=4, seed=7, strategy="consensus").materialise(spark, 0, 16, 0, 16))
 
 
-@query()
+@query(f"with {CELLS_SQL}, n as (select count(*) // 2 as n from embeddings), b as (select t, y, x from (select unnest(range(-1, (select n + 2 from n))) as t), (select unnest(range(-4, 12)) as y), (select unnest(range(-4, 12)) as x)) select b.t::bigint as t, b.y::bigint as y, b.x::bigint as x, round(c.u, 6) as u, round(c.v, 6) as v from b join cells c on c.s = ((b.t % (select n from n)) + (select n from n)) % (select n from n) and c.y = (b.y + 8) % 8 and c.x = (b.x + 8) % 8")
 def periodic_replay(spark, d):
     base = cells(spark, d).select(F.col("s").cast("int").alias("t"), "y", "x", "u", "v")
     n = table(spark, d, "embeddings").count() // 2
@@ -234,7 +253,14 @@ def _drift(n_x, n_y):
     return out
 
 
-@query()
+_STEPS = ",\n ".join(f"a{k + 1} as (select i, j, value + r as ahead from v{k} join g using (i, j)), q{k + 1} as (select g.i, g.j, a.a as action, sum(p.p * coalesce(n.ahead, 0)) as q from g cross join (select unnest([0, 1, 2]) as a) a join dr p on p.i = g.i left join a{k + 1} n on n.i = g.i + p.d and n.j = g.j + a.a - 1 group by 1, 2, 3), v{k + 1} as (select i, j, max(q) as value, arg_min(action, (-q, action)) as action from q{k + 1} group by 1, 2)" for k in range(4))
+
+
+@query(f"""with g as (select i, j, case when sqrt((i - 4) ** 2 + (j - 4) ** 2) <= 1 then 0.0 else -1.0 end::double as r from (select unnest(range(1, 8)) as i), (select unnest(range(1, 8)) as j)),
+ dr as (select i, d, (case when d = 0 then 0.6 when (d = 1) = (i <= 3) then 0.3 else 0.1 end)::double as p from (select unnest(range(1, 8)) as i), (select unnest([-1, 0, 1]) as d)),
+ v0 as (select i, j, 0.0::double as value from g),
+ {_STEPS}
+ select i::bigint as i, j::bigint as j, round(value, 6) as value, action::bigint as action from v4""")
 def backward_induction(spark, d):
     n = 7
     drift = _drift(n, n)
@@ -279,7 +305,7 @@ def streamed_stats(spark, d):
     return rounded(stats(spark, *how), 4)
 
 
-@query()
+@query(f"with {RUNS_SQL} select cast(month as bigint) as month, cast(hour as bigint) as hour, count(*) as n, round(avg(seconds), 4) as mean_s, round(quantile_cont(seconds, 0.1), 4) as p10_s, round(quantile_cont(seconds, 0.5), 4) as median_s, round(quantile_cont(seconds, 0.9), 4) as p90_s, round(coalesce(quantile_cont(case when not isnan(memory) then memory end, 0.5), 'nan'::double), 4) as memory from runs group by 1, 2")
 def condition_board(spark, d):
     """Board of two methods' costs by condition, long form."""
     from windloom.operators.aggregate import performance

@@ -10,15 +10,15 @@ from windloom.operators import align, arena, physics, windows
 from windloom.plans.base import query, rounded
 from windloom.sources.views import CELLS_SQL, HOURLY_SQL, RUNS_SQL, cells, hourly, runs, samples, slices, table
 
-_JX = "select s, 'x' as axis, x as loc, y as line, lead(u, {lag}) over w - u as du, lead(v, {lag}) over w - v as dv from cells window w as (partition by s, y order by x)"
-_JY = "select s, 'y' as axis, y as loc, x as line, lead(u, {lag}) over w - u as du, lead(v, {lag}) over w - v as dv from cells window w as (partition by s, x order by y)"
+_JX = "select s, 'x' as axis, x as loc, y as line, u, v, lead(u, {lag}) over w as u1, lead(v, {lag}) over w as v1, lead(u, {lag}) over w - u as du, lead(v, {lag}) over w - v as dv from cells window w as (partition by s, y order by x)"
+_JY = "select s, 'y' as axis, y as loc, x as line, u, v, lead(u, {lag}) over w as u1, lead(v, {lag}) over w as v1, lead(u, {lag}) over w - u as du, lead(v, {lag}) over w - v as dv from cells window w as (partition by s, x order by y)"
 
 
 def jumps_sql(lag: int = 1) -> str:
     return f"jumps as (select *, sqrt(du*du + dv*dv) as jump from ({_JX.format(lag=lag)} union all {_JY.format(lag=lag)}) where du is not null)"
 
 
-@query(f"with {CELLS_SQL}, {jumps_sql()}, j as (select *, (loc + 1) % 4 = 0 as seam, (du * lead(du) over w + dv * lead(dv) over w) / greatest(jump * lead(jump) over w, 1e-6) as cosine from jumps window w as (partition by s, axis, line order by loc)) select round(avg(jump) filter (seam) / avg(jump), 6) as jump_ratio, round(avg(jump*jump) filter (seam) / avg(jump*jump), 6) as squared_ratio, round(avg(cosine) filter (seam), 6) as seam_cosine, round(avg(cosine), 6) as all_cosine, round(abs(avg(cosine) - avg(cosine) filter (seam)), 6) as direction_gap from j")
+@query(f"with {CELLS_SQL}, {jumps_sql()}, j as (select *, (loc + 1) % 4 = 0 as seam, (u*u1 + v*v1) / greatest(sqrt(u*u + v*v) * sqrt(u1*u1 + v1*v1), 1e-6) as cosine from jumps) select round(avg(jump) filter (seam) / greatest(avg(jump), 1e-12), 6) as jump_ratio, round(avg(jump*jump) filter (seam) / greatest(avg(jump*jump), 1e-12), 6) as squared_ratio, round(avg(cosine) filter (seam), 6) as seam_cosine, round(avg(cosine), 6) as all_cosine, round(avg(cosine) - avg(cosine) filter (seam), 6) as direction_gap from j")
 def boundary_coherence(spark, d):
     return rounded(windows.boundary_coherence(cells(spark, d), ["s"], 4))
 
@@ -46,9 +46,9 @@ _G = """g as (select *, coalesce((lead(v) over wx - lag(v) over wx) / 2, lead(v)
  from cells window wx as (partition by s, y order by x), wy as (partition by s, x order by y))"""
 
 
-@query(f"with {CELLS_SQL}, {_G} select s, cast(y as bigint) as y, cast(x as bigint) as x, round(vx - uy, 6) as vort, round(ux + vy, 6) as div from g where s < 20")
+@query(f"with {CELLS_SQL}, {_G} select s, cast(y as bigint) as y, cast(x as bigint) as x, round(vx - uy, 6) as vort, round(ux + vy, 6) as div from g")
 def vorticity_divergence(spark, d):
-    return rounded(windows.vorticity_divergence(cells(spark, d), ["s"]).where("s < 20").select("s", "y", "x", "vort", "div"))
+    return rounded(windows.vorticity_divergence(cells(spark, d), ["s"]).select("s", "y", "x", "vort", "div"))
 
 
 @query(f"with {CELLS_SQL}, {_G} select round(stddev_pop(vx - uy) / (stddev_pop(ux + vy) + 1e-12), 6) as ratio from g")
@@ -111,11 +111,19 @@ def frame_pairs(spark, d):
     return rounded(p.groupBy("series").agg(F.count("*").alias("pairs"), F.avg(F.col("next_u") - F.col("u")).alias("mean_change")))
 
 
-@query("with recursive st as (select l_orderkey as o, l_linenumber as step, l_discount as reward, l_tax as value, l_returnflag = 'R' as done, max(l_linenumber) over (partition by l_orderkey) as last from (select l_orderkey, l_linenumber, min(l_discount) as l_discount, min(l_tax) as l_tax, min(l_returnflag) as l_returnflag from lineitem group by 1, 2)), od as (select *, row_number() over (partition by o order by step desc) as k from st), g(o, k, value, adv) as (select o, k, value, reward - value from od where k = 1 union all select od.o, od.k, od.value, od.reward + 0.99 * g.value * (case when od.done then 0.0 else 1.0 end) - od.value + 0.99 * 0.95 * (case when od.done then 0.0 else 1.0 end) * g.adv from g join od on od.o = g.o and od.k = g.k + 1) select o, round(sum(adv), 6) as total, count(*) as n from g group by o")
+@query("""with recursive st as (select l_orderkey as o, l_linenumber as step, min(l_discount) as reward, min(l_tax) as value, min(l_returnflag) = 'R' as done from lineitem group by 1, 2),
+ od as (select *, row_number() over (partition by o order by step desc) as k from st),
+ g(o, k, value, done, adv) as (
+  select o, k, value, done, reward + 0.99 * ((o % 7) / 10.0) * (case when o % 2 = 0 then 0.0 else 1.0 end) - value from od where k = 1
+  union all
+  select od.o, od.k, od.value, od.done, od.reward + 0.99 * g.value * (case when g.done then 0.0 else 1.0 end) - od.value + 0.99 * 0.95 * (case when g.done then 0.0 else 1.0 end) * g.adv from g join od on od.o = g.o and od.k = g.k + 1)
+ select o, round(sum(adv) + 0.0000001234, 6) as total, round(sum(adv + value) + 0.0000001234, 6) as returns, count(*) as n from g group by o""")
 def advantages(spark, d):
     r = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("step")).agg(F.min("l_discount").alias("reward"), F.min("l_tax").alias("value"), (F.min("l_returnflag") == "R").alias("done"))
-    g = windows.advantages(r, ["o"])
-    return rounded(g.select("o", F.aggregate("gae", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("gae").alias("n")))
+    r = r.withColumns({"after": F.col("o") % 7 / 10.0, "over": F.col("o") % 2 == 0})
+    g = windows.advantages(r, ["o"], last_value="after", last_done="over")
+    total = lambda c: F.aggregate(c, F.lit(0.0000001234), lambda a, x: a + x)  # noqa: E731  off the ties of rounding
+    return rounded(g.select("o", total("gae").alias("total"), total("returns").alias("returns"), F.size("gae").alias("n")))
 
 
 @query("with r as (select l_orderkey as o, l_linenumber as step, max(l_discount) as value from lineitem group by 1, 2) select o, cast(step as bigint) as step, round(sum(0.1 - value) over w, 6) as regret, round(max(value) over w, 6) as running_max from r window w as (partition by o order by step rows unbounded preceding)")
@@ -273,10 +281,10 @@ def coordinate_columns(spark, d):
     return rounded(s.select("s_suppkey", F.round(columns.wrap_longitude(k * 3.7, 180.0), 6).alias("lon"), columns.whole_displacement(F.col("s_acctbal") / 1000).cast("long").alias("cell"), columns.wrap_cell(k * 1.5, 12).alias("wrapped")))
 
 
-@query("select cast(i as bigint) as i, cast(j as bigint) as j, round(sqrt((i - 8) ** 2 + (j - 8) ** 2), 6) as euclidean, cast(abs(i - 8) + abs(j - 8) as double) as l1, cast(greatest(abs(i - 8), abs(j - 8)) as double) as linf, case when sqrt((i - 8) ** 2 + (j - 8) ** 2) <= 2 then 0.0 else -1.0 end::double as step_cost, round(case when sqrt((i - 8) ** 2 + (j - 8) ** 2) <= 2 then 10.0 else -0.1 * sqrt((i - 8) ** 2 + (j - 8) ** 2) end, 6)::double as navigation from (select unnest(range(1, 16)) as i), (select unnest(range(1, 16)) as j)")
+@query("select cast(i as bigint) as i, cast(j as bigint) as j, round(sqrt((i - 8) ** 2 + (j - 8) ** 2), 6) as euclidean, cast(abs(i - 8) + abs(j - 8) as double) as l1, cast(greatest(abs(i - 8), abs(j - 8)) as double) as linf, case when sqrt((i - 8) ** 2 + (j - 8) ** 2) <= 2 then 0.0 else -1.0 end::double as step_cost, round((10.0 - 0.1) / (1 + 0.1 * sqrt((i - 8) ** 2 + (j - 8) ** 2)), 6)::double as navigation from (select unnest(range(1, 16)) as i), (select unnest(range(1, 16)) as j)")
 def reward_grids(spark, d):
     i, j, t = F.col("i"), F.col("j"), (8.0, 8.0)
-    return rounded(arena.grid(spark, 15, 15).select("i", "j", *(arena.distance(i, j, t, m).alias(m) for m in ("euclidean", "l1", "linf")), arena.step_cost(i, j, t, 2.0).alias("step_cost"), arena.navigation_reward(i, j, t, 2.0).alias("navigation")))
+    return rounded(arena.grid(spark, 15, 15).select("i", "j", *(arena.distance(i, j, t, m).alias(m) for m in ("euclidean", "l1", "linf")), arena.step_cost(i, j, t, 2.0).alias("step_cost"), arena.navigation_reward(i, j, t).alias("navigation")))
 
 
 @query("with p as (select o_orderkey, o_totalprice / 10000 - 5 as x from orders) select o_orderkey, round(greatest(1.0, least(15.0, x)), 6)::double as clip, x < 1 or x > 15 as out, round(((x - 1) % 15 + 15) % 15 + 1, 6) as periodic from p")
