@@ -9,10 +9,13 @@ the cuts follow from their product, and each task then traces back its own turns
 
 Turns are ordered by (turn, role, text), nulls first. Null texts count as empty, null or unknown roles may
 take any role cheaply, rows without conv_id form one conversation. Of equally cheap repairs a hash of the rows decides.
+Repeated rows are turns of their own; empty tables give none. Marks of turns inside a text are escaped, so that no text
+can open or close a turn.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ FOLLOWS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT
 #: Costs: joining the turn before (with and without text), another role, a role for an unknown one, an empty turn.
 MERGE, MERGE_EMPTY, RELABEL, NAME, INSERT = 2, 1, 5, 1, 3
 FAR = 1 << 40
+_MARK = re.compile(r"<(\\*)\|")
 
 
 def _between() -> list[list[list[int] | None]]:
@@ -143,6 +147,11 @@ def render(turns: list[tuple[int, bool]], texts: list[str], path: list[int], ent
     return out
 
 
+def escaped(text: str | None) -> str:
+    """The text with a backslash inside each "<|", and one more where there are some already."""
+    return _MARK.sub(r"<\\\1|", text or "")
+
+
 def _segments(batches: Iterator[pa.RecordBatch]):
     """(conv_id, rows) of each run of one conversation in a sorted partition."""
     now, rows = None, []
@@ -206,7 +215,7 @@ def repair(conversations: DataFrame, partitions: int | None = None) -> DataFrame
         for conv, seg in _segments(batches):
             entry, leave, offset, last = at.get((part, conv), (START, None, 0, True))
             turns, broken = _turns(seg)
-            told = render(turns, [r[3] or "" for r in seg], solve(turns, entry, leave, broken), entry, last)
+            told = render(turns, [escaped(r[3]) for r in seg], solve(turns, entry, leave, broken), entry, last)
             yield pa.RecordBatch.from_pydict({
                 "conv_id": pa.array([r[0] for r in seg], pa.int64()), "pos": pa.array(range(offset, offset + len(seg)), pa.int64()), "turn": pa.array([r[1] for r in seg], pa.int64()), "role": pa.array([r[2] for r in seg], pa.string()),
                 "new_role": pa.array([t["new_role"] for t in told], pa.string()), "action": pa.array([t["action"] for t in told], pa.string()), "inserted": pa.array([t["inserted"] for t in told], pa.int64()),

@@ -15,12 +15,14 @@ ROWS_PER_BATCH = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or the context's own; a temporary one on a single machine where neither is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if path is None and known.isDefined():
         path = known.get()
     if path is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="windloom-")
     if not known.isDefined():
         spark.sparkContext.setCheckpointDir(path)

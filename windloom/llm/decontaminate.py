@@ -6,7 +6,8 @@ no pattern allows a jump of m - B + 1 words. Where the shift is zero, the bucket
 compared word by word, after a look at the pattern's first block. Windows of fewer than ``size`` words (short items) have
 tables of their own length, so that they don't shorten the jumps of the rest.
 
-Null and empty texts have no words and no hits; repeated items and windows count once per item_id.
+Null and empty texts have no words and no hits; repeated items and windows count once per item_id. Windows of items
+without an id hit words too; such items can't be listed and aren't counted. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windloom.llm.common import map_batches
+from windloom.llm.common import map_batches, stored
 
 #: Words: runs of ASCII digits, lower-case letters and anything beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -98,7 +99,7 @@ class Matcher:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        return merged, sorted(items)
+        return merged, sorted(i for i in items if i is not None)
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> int:
@@ -114,11 +115,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
     each executor holds is bounded; their intervals are then united.
     """
     n = _blocks(benchmark, block_bytes)
-    source = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
+    source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     keyed = docs.select("doc_id", "text")
     parts = None
     for k in range(n):
-        chosen = source if n == 1 else source.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        chosen = source if n == 1 else source.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         items = [(r.item_id, words_of(r.text)) for r in chosen.collect()]  # at most about block_bytes of text
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -150,6 +151,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_b
 
         # Equal (id, text) rows give equal hits: they are counted, searched once per block, and put back.
         one = map_batches(keyed.withColumn("h", F.xxhash64("doc_id", "text")), make_keyed, "doc_id long, h long, n_words long, spans array<array<long>>, items array<long>").withColumn("block", F.lit(k))
+        one = stored(one)
+        sent.unpersist()  # so that one block at a time is held
         parts = one if parts is None else parts.union(one)
     per_block = parts.groupBy("doc_id", "h", "n_words", "block").agg(F.count("*").alias("copies"), F.first("spans").alias("spans"), F.first("items").alias("items"))
     rows = per_block.groupBy("doc_id", "h", "n_words").agg(
@@ -175,10 +178,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: in
     """The rows of docs in which no benchmark window occurs; all columns stay."""
     names = docs.columns
     n = _blocks(benchmark, block_bytes)
-    source = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
+    source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     kept = docs
     for k in range(n):
-        chosen = source if n == 1 else source.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        chosen = source if n == 1 else source.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, words_of(r.text)) for r in chosen.collect()])
 
         def make(sent=sent):
@@ -191,6 +194,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: in
             return run
 
         kept = map_batches(kept, make, kept.schema)
+        if n > 1:
+            kept = stored(kept)
+            sent.unpersist()
     return kept
 
 

@@ -1,16 +1,18 @@
 """Personal data: base patterns, then bootstrapped contextual extraction.
 
 Base matches are seed entities. Each seed, and each other token with a mark of some shape, meets lexical patterns:
-the word before it, the word after it, and both. Spark scores the graph of patterns and instances in rounds:
+the one and two words before it, those after it, and one on both sides. Spark scores the graph of patterns and instances in rounds:
 for a pattern speak its distinct seeds and the instances believed in the round before, against it the other
 tokens it meets that cannot be of the kind, and one more; unknown tokens of fitting shape say nothing. An unknown
 token of fitting shape is believed as much as its best pattern, and then supports its other patterns. Tokens
-believed at the end are further spans. Null texts count as empty; equal rows get equal spans.
+believed at the end are further spans. Null texts count as empty; equal rows get equal spans; empty tables give none.
+Whole neighbouring words count, however long: one beyond WORD_LENGTH stands for itself by its hash.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Words of a context longer than this are not lexical.
+#: Characters of a word beyond which a pattern holds its hash.
 WORD_LENGTH = 40
 #: Distinct seeds and believed instances that a pattern needs; score from which patterns and instances are believed; rounds.
 SUPPORT, BELIEVED, ROUNDS = 3, 0.8, 3
@@ -40,6 +42,7 @@ _SHAPES = {
     "phone": re.compile(r"\(?[0-9](?:[()./-]*[0-9]){6,14}"),
 }
 _EDGE = " \t\"'()[]<>{},.;:!?"
+_WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -77,12 +80,38 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
+class Contexts:
+    """A text's words, for looking up the neighbours of places in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.places = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.places]
+
+    def word(self, k: int, low: int, high: int) -> str:
+        """The k-th word's part between low and high, folded; "" where there is none or only signs."""
+        if not 0 <= k < len(self.places):
+            return ""
+        a, b = max(self.places[k][0], low), min(self.places[k][1], high)
+        word = self.text[a:b] if a < b else ""
+        word = word.strip(_EDGE).lower()
+        return word if len(word) <= WORD_LENGTH else f"#{xxhash.xxh64_hexdigest(word.encode('utf-8', 'surrogatepass'))}"
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        n = len(self.text)
+        k = bisect_right(self.starts, start) - 1
+        mine = 0 <= k < len(self.places) and self.places[k][0] < start and self.word(k, 0, start)  # what stands before the place in its own word is a neighbour
+        before = k if mine else k - 1
+        last = bisect_right(self.starts, end - 1) - 1
+        after = last if last >= 0 and self.word(last, end, n) else last + 1
+        a, a2 = self.word(before, 0, start), self.word(before - 1, 0, start)
+        b, b2 = self.word(after, end, n), self.word(after + 1, end, n)
+        found = [(a, f"{a} _"), (a and a2, f"{a2} {a} _"), (b, f"_ {b}"), (b and b2, f"_ {b} {b2}"), (a and b, f"{a} _ {b}")]
+        return [p for there, p in found if there]
+
+
 def _context(text: str, start: int, end: int) -> list[str]:
-    left = text[max(0, start - WORD_LENGTH - 2) : start].split()
-    right = text[end : end + WORD_LENGTH + 2].split()
-    a = left[-1].strip(_EDGE).lower() if left else ""
-    b = right[0].strip(_EDGE).lower() if right else ""
-    return [f"{a} _"] * bool(a) + [f"_ {b}"] * bool(b) + [f"{a} _ {b}"] * bool(a and b)
+    return Contexts(text).patterns(start, end)
 
 
 def tokens(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -118,10 +147,11 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in cols["text"]:
                 text = text or ""
                 base = base_spans(text)
-                met = []
-                for known, spans in ((True, base), (False, tokens(text, base))):
+                met, more = [], tokens(text, base)
+                around = Contexts(text) if base or more else None
+                for known, spans in ((True, base), (False, more)):
                     for kind, a, b in spans:
-                        met.append({"kind": kind, "start": a, "stop": b, "value": xxhash.xxh64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass")) - (1 << 63), "known": known, "patterns": _context(text, a, b)})
+                        met.append({"kind": kind, "start": a, "stop": b, "value": xxhash.xxh64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass")) - (1 << 63), "known": known, "patterns": around.patterns(a, b)})
                 out["base"].append([{"kind": k, "start": a, "stop": b} for k, a, b in base])
                 out["base_sha256"].append(sha256(spans_text(base, KINDS)))
                 out["met"].append(met)

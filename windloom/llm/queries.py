@@ -76,7 +76,7 @@ with words as (
  places as (select id, m, i, array_to_string(w[i : i + m - 1], ' ') as win from (select id, w, m, unnest(range(1, len(w) - m + 2)) as i from words, sizes where kind = 'd' and len(w) >= m)),
  hits as (select p.id, p.m, p.i, b.item_id from places p join windows b on p.m = b.m and p.win = b.win),
  hit_words as (select id, count(distinct k) as n_hit from (select id, unnest(range(i, i + m)) as k from hits) group by id),
- hit_items as (select id, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct id, cast(item_id as varchar) as s from hits) group by id)
+ hit_items as (select id, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct id, cast(item_id as varchar) as s from hits where item_id is not null) group by id)
 select w.id as doc_id, cast(len(w.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
 from words w left join hit_words h on w.id = h.id left join hit_items i on w.id = i.id where w.kind = 'd'
 """,

@@ -1,8 +1,12 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found in every text; their hashes are counted by distinct repositories and distinct owners.
-A value that several owners hold is a widely copied example; a value of one owner that looks random is a
-live-looking credential. Null texts count as empty. Repeated rows count as one repository.
+A value that several owners hold is a widely copied example; a value of fewer owners that looks random is a
+live-looking credential. Beside patterns of known secrets every long random-looking token is a wide candidate: it
+becomes a span only if its ownership makes it live, since on its looks alone it may as well be a checksum that many copy.
+
+Null texts count as empty, empty tables give none. Repeated rows count as one repository. Columns of other names don't
+matter. All patterns take time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -23,19 +27,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BASE = ("assign", "access", "hex")
 # Kinds that the method adds.
-EXTRA_PATTERNS = {
-    "pem": re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    "prefixed": re.compile(r"(?:ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_)[A-Za-z0-9_-]{16,}"),
-}
-KINDS = (*BASE, *EXTRA_PATTERNS)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*+)-----")
+PREFIXED = re.compile(r"(?:ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_)[A-Za-z0-9_-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{24,}+={0,2}")
+KINDS = (*BASE, "pem", "jwt", "prefixed", "wide")
+_SEGMENT = re.compile(r"[A-Za-z0-9_-]++")
 # A key's body where no END line closes it: base64 lines, the first of 16 characters or more; breaks may be escaped.
 _BREAK = re.compile(r"(?:\s|\\[nrt])+")
 _BODY = re.compile(r"(?:\s|\\[nrt])*[A-Za-z0-9+/=]{16,}+(?:(?:\s|\\[nrt])+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nrt])+[A-Za-z0-9+/]*={1,2})?")
 #: Distinct owners from which a value is an example.
 SHARED_BY = 3
-#: Bits a character, and different characters, from which a value looks random.
-ENTROPY, DIFFERENT = 2.5, 8
+#: Bits a character, and different characters, from which a value looks random; bits a character of a wide candidate.
+ENTROPY, DIFFERENT, WIDE_ENTROPY = 2.5, 8, 3.7
 
 
 def entropy(value: str) -> float:
@@ -48,7 +51,7 @@ def pem_keys(text: str) -> list[tuple[int, int, str]]:
 
     The value is the body without breaks, so that a key is the same however it is wrapped; the header where there is none.
     """
-    begins, out = list(EXTRA_PATTERNS["pem"].finditer(text)), []
+    begins, out = [m for m in PEM.finditer(text) if m[1].endswith("PRIVATE KEY")], []
     for m, after in zip(begins, [*(b.start() for b in begins[1:]), len(text)]):
         end = f"-----END {m[1]}-----"
         at = text.find(end, m.end(), after)
@@ -61,8 +64,44 @@ def pem_keys(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def web_tokens(text: str) -> list[tuple[int, int]]:
+    """Start and stop of header.body.signature, header and body beginning with eyJ and of 11 characters at least.
+
+    Each dotted segment is looked at once, from the dot before a body.
+    """
+    out, done, at = [], 0, text.find(".eyJ")
+    while at >= 0:
+        body = _SEGMENT.match(text, at + 1)
+        begin = at
+        while begin > done and (text[begin - 1].isascii() and text[begin - 1].isalnum() or text[begin - 1] in "_-"):
+            begin -= 1
+        head = text.find("eyJ", begin, max(begin, at - 8))
+        sign = _SEGMENT.match(text, body.end() + 1) if text[body.end() : body.end() + 1] == "." else None
+        if head >= 0 and body.end() - body.start() >= 11 and sign:
+            out.append((head, sign.end()))
+            done = sign.end()
+        else:
+            done = at
+        at = text.find(".eyJ", max(at + 1, done))
+    return out
+
+
+def wide(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+    """Random-looking tokens with letters of both cases or digits, outside the spans found before."""
+    out, busy, k = [], sorted((a, b) for _, a, b, _ in taken), 0
+    for m in TOKEN.finditer(text):
+        while k < len(busy) and busy[k][1] <= m.start():
+            k += 1
+        if k < len(busy) and busy[k][0] < m.end():
+            continue
+        value = m[0]
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and entropy(value) >= WIDE_ENTROPY:
+            out.append(("wide", m.start(), m.end(), value))
+    return out
+
+
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
-    """Base spans, and all spans with the secret value."""
+    """Base spans, and all spans and wide candidates with the secret value."""
     text = text or ""
     base, every = [], []
     low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -80,13 +119,12 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         base.append(("hex", m.start(), m.end()))
         every.append(("hex", m.start(), m.end(), m[0]))
     every += [("pem", *key) for key in pem_keys(text)] if "-----BEGIN " in text else []
-    for kind in ("jwt", "prefixed"):
-        for m in EXTRA_PATTERNS[kind].finditer(text):
-            every.append((kind, m.start(), m.end(), m[0]))
-    return base, every
+    every += [("jwt", a, b, text[a:b]) for a, b in web_tokens(text)]
+    every += [("prefixed", m.start(), m.end(), m[0]) for m in PREFIXED.finditer(text)]
+    return base, every + wide(text, every)
 
 
-SCHEMA = "doc_id long, owner string, repo long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<value:long,random:boolean,kind:string,start:int,stop:int>>"
+SCHEMA = "doc_id long, owner string, repo long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<value:long,random:boolean,kind:string,start:int,stop:int>>"
 
 
 def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFrame:
@@ -94,7 +132,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
 
     def make():
         def run(cols):
-            out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "found")}
+            out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "found")}
             for text in cols["text"]:
                 base, every = find(text)
                 n = Counter(k for k, _, _ in base)
@@ -102,8 +140,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
                 out["n_access"].append(n["access"])
                 out["n_hex"].append(n["hex"])
                 out["base_sha256"].append(sha256(spans_text(base, KINDS)))
-                out["spans"].append(spans_text([e[:3] for e in every], KINDS))
-                out["found"].append([{"value": xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63), "random": k == "pem" or entropy(v) >= ENTROPY and len(set(v)) >= DIFFERENT, "kind": k, "start": a, "stop": b} for k, a, b, v in every])
+                out["found"].append([{"value": xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63), "random": k in ("pem", "wide") or entropy(v) >= ENTROPY and len(set(v)) >= DIFFERENT, "kind": k, "start": a, "stop": b} for k, a, b, v in every])
             return {"doc_id": cols["doc_id"], "owner": cols["owner"], "repo": cols["repo"]} | out
 
         return run
@@ -131,9 +168,14 @@ def findings(scanned: DataFrame, shared_by: int = SHARED_BY, salts: int = 16) ->
 
 
 def report(docs: DataFrame, owner: str = "source", repo: str = "doc_id", shared_by: int = SHARED_BY) -> DataFrame:
-    """One row per row of docs: base counts and digest, all spans, how many candidates are live or examples."""
+    """One row per row of docs: base counts and digest, all spans (wide candidates only where live), how many are live or examples."""
     scanned = stored(scan(docs, owner, repo).withColumn("row", F.monotonically_increasing_id()))
-    told = findings(scanned, shared_by).groupBy("row").agg(F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "example").alias("n_example"))
-    return scanned.join(told, "row", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"), F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example")
+    place = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order"), "stop", "kind")
+    told = findings(scanned, shared_by).groupBy("row").agg(
+        F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if((F.col("verdict") == "example") & (F.col("kind") != "wide")).alias("n_example"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") != "wide") | (F.col("verdict") == "live"), place))).alias("spans"),  # of one text
     )
+    text = F.array_join(F.transform(F.col("spans"), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    none = F.lit(0).cast("long")
+    rows = scanned.drop("found").join(told, "row", "left")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"), F.coalesce("n_live", none).alias("n_live"), F.coalesce("n_example", none).alias("n_example"))

@@ -19,6 +19,7 @@ nine shingles, too small for an estimate, meet by what is left when one shingle
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -319,25 +320,35 @@ def _apart(wide: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
 
 
-def _fitting(wide: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of owners of one variant that have different roots, are within ``radius`` and of fitting sizes."""
+def _met(n: int, place: np.ndarray, own: np.ndarray, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair (a < b) of the n owners once that meets at some variant."""
     order = np.lexsort((own, place))
     place, own = place[order], own[order]
     ends = np.searchsorted(place, place, side="right")
-    out_a, out_b, step = [], [], 1
+    held, size, step = [], 0, 1
     at = np.flatnonzero(ends - np.arange(len(own)) > step)
     while len(at):
-        x, y = own[at], own[at + step]
-        fits = np.flatnonzero((np.minimum(size[x], size[y]) + 1e-9 >= least * np.maximum(size[x], size[y])) & (root[x] != root[y]))
-        x, y = x[fits], y[fits]
-        near = _apart(wide, x, y) <= radius
-        out_a.append(x[near])
-        out_b.append(y[near])
+        held.append(own[at] * n + own[at + step])
+        size += len(at)
+        if size > most:  # a pair meets at many variants
+            held = [np.unique(np.concatenate(held))]
+            size = 0
         step += 1
         at = at[ends[at] - at > step]
-    if not out_a:
-        return (np.zeros(0, np.int64),) * 2
-    return tuple(np.divmod(np.unique(np.concatenate(out_a) * len(wide) + np.concatenate(out_b)), len(wide)))
+    return np.divmod(np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64), n)
+
+
+def _members(a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of members (places in order of groups) of the pairs of groups (a, b), about ``most`` at a time; each once where a group is paired with itself."""
+    count = size[a] * size[b]
+    upto = np.cumsum(count)
+    for first in range(0, int(upto[-1]) if len(upto) else 0, most):
+        flat = np.arange(first, min(first + most, int(upto[-1])))
+        pair = np.searchsorted(upto, flat, side="right")
+        x, y = np.divmod(flat - (upto[pair] - count[pair]), size[b[pair]])
+        keep = (a[pair] != b[pair]) | (x < y)
+        pair, x, y = pair[keep], x[keep], y[keep]
+        yield begin[a[pair]] + x, begin[b[pair]] + y
 
 
 def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, least: float = SIMILAR, nearest: int | None = None) -> DataFrame:
@@ -359,31 +370,38 @@ def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, leas
         return (wide[:, key // 2] >> np.uint64(0 if key % 2 else 32)) & np.uint64((1 << 32) - 1)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
         node, root, size, wide = pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["size"].to_numpy(), pdf[S].to_numpy().view(np.uint64)
         key, head = divmod(int(pdf["block"].iloc[0]), 1 << prefix)
         fp, head = key_of(wide, key), np.uint64(head)
-        left = half - np.bitwise_count((fp >> np.uint64(low)) ^ head).astype(np.int64)
-
-        def join(index, place, own):
-            return _fitting(wide[index], root[index], size[index], place, own, radius, least)
-
-        edges = _meet(fp, left, low, half, VARIANTS_AT_ONCE, join)
+        # texts of one key are a group; keys meet, not texts
+        order = np.lexsort((node, fp))
+        node, root, size, wide, fp = node[order], root[order], size[order], wide[order], fp[order]
+        keys, begin, members = np.unique(fp, return_index=True, return_counts=True)
+        left = half - np.bitwise_count((keys >> np.uint64(low)) ^ head).astype(np.int64)
+        edges = _meet(keys, left, low, half, VARIANTS_AT_ONCE, lambda index, place, own: _met(len(index), place, own))
         a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        here = np.ones(len(a), dtype=bool)
-        for k in range(key):  # an earlier key gives the pair
-            f = key_of(wide, k)
-            here &= np.bitwise_count(f[a] ^ f[b]) > KEY_RADIUS
-        # of the blocks where it meets: b's own, or a's with its two lowest differing bits turned
-        ha, hb = fp[a] >> np.uint64(low), fp[b] >> np.uint64(low)
+        a, b = np.divmod(np.unique(np.minimum(a, b) * len(keys) + np.maximum(a, b)), len(keys))
+        own = np.flatnonzero(members > 1)
+        a, b = np.concatenate([a, own]), np.concatenate([b, own])
+        # of the blocks where two keys meet this one gives them: the larger key's own, or the smaller's with its two lowest differing bits turned
+        ha, hb = keys[a] >> np.uint64(low), keys[b] >> np.uint64(low)
         x = ha ^ hb
         y = x & (x - np.minimum(x, np.uint64(1)))
         z = y & (y - np.minimum(y, np.uint64(1)))
-        here &= np.where(np.bitwise_count(x) <= half, hb, ha ^ x ^ z) == head
-        pairs = np.unique(np.stack([a[here], b[here]], axis=1), axis=0)
-        a, b = pairs[:, 0], pairs[:, 1]
-        apart = _apart(wide, a, b).astype(np.int32)
+        here = (np.bitwise_count(keys[a] ^ keys[b]) <= KEY_RADIUS) & (np.where(np.bitwise_count(x) <= half, hb, ha ^ x ^ z) == head)
+        a, b = a[here], b[here]
+        found = [(np.zeros(0, np.int64),) * 2]
+        for p, q in _members(a, b, begin, members):
+            fits = (root[p] != root[q]) & (np.minimum(size[p], size[q]) + 1e-9 >= least * np.maximum(size[p], size[q]))
+            p, q = p[fits], q[fits]
+            for k in range(key):  # an earlier key gives the pair
+                f = key_of(wide, k)
+                later = np.bitwise_count(f[p] ^ f[q]) > KEY_RADIUS
+                p, q = p[later], q[later]
+            near = _apart(wide, p, q) <= radius
+            found.append((p[near], q[near]))
+        p, q = (np.concatenate(v) for v in zip(*found))
+        a, b, apart = np.where(node[p] < node[q], p, q), np.where(node[p] < node[q], q, p), _apart(wide, p, q).astype(np.int32)
         if nearest is not None and len(a):
             ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
             order = np.lexsort((pair, apart[pair], ends))

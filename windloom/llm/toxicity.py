@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -29,8 +30,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 # Harmless phrases that hold an entry of common lexicons.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "no pun intended")
 
-_FULL_WIDTH = {0xFF01 + i: chr(0x21 + i) for i in range(94)}
-FOLD = {**_FULL_WIDTH, **{ord(k): v for k, v in {**HOMOGLYPHS, **SUBSTITUTES}.items()}}
+FOLD_LETTERS = {ord(k): v for k, v in HOMOGLYPHS.items()}
+_MARKS = re.compile("[\u0300-\u036f\u200b-\u200d\u2060\ufeff]+")
 FOLD_ASCII = {ord(k): v for k, v in SUBSTITUTES.items()}
 _BREAK = re.compile(r"[\W_]+")
 
@@ -45,7 +46,9 @@ def folded(text: str | None) -> str:
     if not text:
         return " "
     low = text.lower()
-    plain = _BREAK.sub(" ", low.translate(FOLD_ASCII if low.isascii() else FOLD)).strip()
+    if not low.isascii():  # accents and combining marks go, full-width signs become plain ones, before digits and look-alikes are folded
+        low = _MARKS.sub("", unicodedata.normalize("NFKD", low.translate(FOLD_LETTERS)))
+    plain = _BREAK.sub(" ", low.translate(FOLD_ASCII)).strip()
     return f" {plain} " if plain else " "
 
 

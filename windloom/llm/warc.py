@@ -6,6 +6,10 @@ package as they are: offset of the member's data plus offset of the record. The
 central directory, its ZIP64 form where the fields are full, the central directory, and each wanted
 member's local header; it reads the index and then only the ranges of records.
 
+Packages of other writers are read too: any number of WARC members, compressed by record or not, located in the
+directory by their names; CDXJ indexes, plain or compressed; without an index the record starts are found by walking
+through the member. Record types other than response and revisit are given as they are; what a record doesn't say is null.
+
 Pages with equal payloads of at least ``least`` bytes: the one with the largest page_id is the response, the
 others revisit it. A null html is an empty payload; rows whose id equals the largest (repeated rows) are all
 responses; rows without page_id revisit where the group has an id, else they are responses.
@@ -13,6 +17,7 @@ responses; rows without page_id revisit where the group has an id, else they are
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -22,6 +27,8 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -29,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windloom.llm.common import map_batches, shared_dir, stored
+from windloom.llm.common import ROWS_PER_BATCH, map_batches, shared_dir, stored
 
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 #: Bytes of records after which a task begins another package.
 ROLL = 32 << 20
 #: Rows of winners that are broadcast, at most.
 FEW = 200_000
+#: Kept as they are in an index line's key, which holds no blanks.
+SAFE = "/:?&=%,()@!$'*+;~"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -92,7 +101,7 @@ def write_archives(pages: DataFrame, to: str, least: int = 1000, roll: int = ROL
         salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         typed = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["sha1", "salt"], "left").drop("salt")
     typed = typed.select("page_id", "url", "html", "sha1", "first_id")
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
     def run(batches: Iterator[pa.RecordBatch]):
         system, base = filesystem(to)
@@ -102,12 +111,12 @@ def write_archives(pages: DataFrame, to: str, least: int = 1000, roll: int = ROL
 
         def flush():
             nonlocal seq, at, records, index
-            name = f"part-{task.partitionId():06d}-{seq:04d}.wacz"
+            # by attempt: one that was given up never writes over another's package; only the names returned are read
+            name = f"part-{task.partitionId():06d}-{seq:04d}-{task.taskAttemptId()}.wacz"
             path = f"{base}/{name}"
             data = package(records, index)
-            with system.open_output_stream(f"{path}.{task.taskAttemptId()}.tmp") as f:
+            with system.open_output_stream(path) as f:
                 f.write(data)
-            system.move(f"{path}.{task.taskAttemptId()}.tmp", path)
             out = (f"{to.rstrip('/')}/{name}", len(data), len(records))
             seq, at, records, index = seq + 1, 0, [], []
             return out
@@ -120,7 +129,7 @@ def write_archives(pages: DataFrame, to: str, least: int = 1000, roll: int = ROL
                 revisit = first is not None and page_id != first
                 packed = gzip.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), sha1, first, revisit), 1, mtime=0)
                 kind = "revisit" if revisit else "response"
-                index.append(f"{json.dumps(url)} 20240101000000 {json.dumps({'offset': at, 'length': len(packed), 'type': kind, 'page': page_id, 'digest': sha1})}\n")
+                index.append(f"{quote(url or '', safe=SAFE)} 20240101000000 {json.dumps({'url': url, 'filename': DATA.rpartition('/')[2], 'offset': str(at), 'length': str(len(packed)), 'type': kind, 'page': page_id, 'digest': f'sha1:{sha1}'})}\n")
                 records.append(packed)
                 at += len(packed)
                 if at >= roll:
@@ -186,10 +195,10 @@ class ZipReader:
             p += 46 + n + e + c
         return out
 
-    def data_offset(self, name: str) -> int:
-        """Where a stored member's data begin."""
+    def data_offset(self, name: str, any_method: bool = False) -> int:
+        """Where a member's data begin; records can be read in place from stored ones only."""
         method, _, _, header = self.members[name]
-        if method != 0:
+        if method != 0 and not any_method:
             raise ValueError(f"{name} is not stored")
         local = self.read(header, 30)
         if local[:4] != b"PK\x03\x04":
@@ -198,43 +207,136 @@ class ZipReader:
         return header + 30 + n + e
 
 
+def is_data(name: str) -> bool:
+    return name.lower().endswith((".warc", ".warc.gz"))
+
+
+def is_index(name: str) -> bool:
+    return name.lower().endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz"))
+
+
+def member_lines(z: ZipReader, name: str, part: int = 1 << 20) -> Iterator[bytes]:
+    """The lines of a text member, stored or deflated in the package, and gzipped or not in itself."""
+    method, packed, _, _ = z.members[name]
+    at = z.data_offset(name, any_method=True)
+    layers = ([zlib.decompressobj(-15)] if method == 8 else []) + ([zlib.decompressobj(31)] if name.endswith(".gz") else [])
+    rest, done = b"", 0
+    while done < packed:
+        data = z.read(at + done, min(part, packed - done))
+        done += len(data)
+        for k, layer in enumerate(layers):
+            out = layer.decompress(data)
+            while layer.eof and layer.unused_data and layer.unused_data.strip(b"\0"):  # the next gzip member
+                left, layer = layer.unused_data, zlib.decompressobj(31)
+                layers[k] = layer
+                out += layer.decompress(left)
+            data = out
+        *lines, rest = (rest + data).split(b"\n")
+        yield from lines
+    if rest:
+        yield rest
+
+
+def walk(z: ZipReader, name: str, part: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Offset and length in the package of every record of a WARC member without an index."""
+    _, size, _, _ = z.members[name]
+    base, at = z.data_offset(name), 0
+    while at < size:
+        start, done = at, False
+        if z.read(base + at, min(2, size - at)) == b"\x1f\x8b":
+            unpack = zlib.decompressobj(31)
+            while not done and at < size:
+                data = z.read(base + at, min(part, size - at))
+                unpack.decompress(data)
+                at += len(data) - len(unpack.unused_data)
+                done = unpack.eof
+        else:
+            head = b""
+            while b"\r\n\r\n" not in head and at + len(head) < size:
+                head += z.read(base + at + len(head), min(4096, size - at - len(head)))
+            above, _, _ = head.partition(b"\r\n\r\n")
+            at = min(size, at + len(above) + 4 + int(_fields(above.decode("utf-8", "replace"))["content-length"]) + 4)
+        yield base + start, at - start
+
+
+def records_of(z: ZipReader) -> Iterator[tuple[int, int]]:
+    """Offset and length in the package of every record: from the indexes, for members that none names by walking."""
+    data = {n.rpartition("/")[2]: n for n in z.members if is_data(n)}
+    begins = {n: z.data_offset(n) for n in data.values()}
+    named = set()
+    for index in sorted(n for n in z.members if is_index(n)):
+        for line in member_lines(z, index):
+            at = line.find(b"{")
+            if at < 0:
+                continue
+            told = json.loads(line[at:])
+            member = data.get(str(told.get("filename", "")).rpartition("/")[2]) or (next(iter(data.values())) if len(data) == 1 else None)
+            if member is None or "offset" not in told or "length" not in told:
+                continue
+            named.add(member)
+            yield begins[member] + int(told["offset"]), int(told["length"])
+    for member in sorted(set(data.values()) - named):
+        yield from walk(z, member)
+
+
 def index_of(archives: DataFrame) -> DataFrame:
-    """path, offset (in the package), length, of every record, from the packages' own indexes."""
+    """path, offset (in the package), length, of every record of archives(path)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, at = filesystem(path)
                 with system.open_input_file(at) as f:
-                    z = ZipReader(f)
-                    base, place, left = z.data_offset(DATA), z.data_offset(INDEX), z.members[INDEX][2]
-                    rest, done = b"", 0
-                    while done < left:
-                        part = z.read(place + done, min(1 << 20, left - done))
-                        done += len(part)
-                        *lines, rest = (rest + part).split(b"\n")
-                        told = [json.loads(x[x.rindex(b" 20240101000000 ") + 16 :]) for x in lines if x]
-                        yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(told), pa.string()), "offset": pa.array([base + t["offset"] for t in told], pa.int64()), "length": pa.array([t["length"] for t in told], pa.int64())})
+                    found = records_of(ZipReader(f))
+                    while some := list(islice(found, 4096)):
+                        yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(some), pa.string()), "offset": pa.array([a for a, _ in some], pa.int64()), "length": pa.array([n for _, n in some], pa.int64())})
 
     return archives.select("path").repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 2)).mapInArrow(run, "path string, offset long, length long")
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC header, HTTP header, payload of one record."""
+def _fields(head: str) -> dict[str, str]:
+    """Header lines by lower-case name; lines that begin with a blank go on the one before."""
+    out, name = {}, None
+    for line in head.split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str] | None, bytes]:
+    """WARC header, HTTP header (None where the block has none), payload of one record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    if not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    block = rest[: int(fields["Content-Length"])]
+    fields = _fields(head.decode("utf-8", "surrogatepass"))
+    block = rest[: int(fields["content-length"])]
+    if not block.startswith(b"HTTP/"):
+        return fields, None, block
     http, _, payload = block.partition(b"\r\n\r\n")
-    return fields, dict(x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:]), payload
+    return fields, _fields(http.decode("latin-1")), payload
+
+
+def sha1_of(field: str | None) -> str | None:
+    """Bare lower-case hex of a sha1 digest field, which may be in base 32."""
+    name, _, value = (field or "").partition(":")
+    if name.lower() != "sha1":
+        return None
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
+def number(text: str | None) -> int | None:
+    return int(text) if text and text.strip().lstrip("-").isdecimal() else None
 
 
 def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to (and url, payload) of every record.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (and url, payload) of every record of archives(path).
 
-    A response's digest is computed from its payload and must equal the one in its header.
+    A response's digest is computed from its payload and must equal the one in its header, if there is one; a revisit's
+    is the header's, its length that of the HTTP header.
     """
 
     def make():
@@ -251,18 +353,19 @@ def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                     opened[path] = system.open_input_file(at)
                 f = opened[path]
                 f.seek(offset)
-                fields, http, payload = parse(zlib.decompress(f.read(length), 31))
-                revisit = fields["WARC-Type"] == "revisit"
-                sha1 = fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else hashlib.sha1(payload).hexdigest()
-                if f"sha1:{sha1}" != fields["WARC-Payload-Digest"]:
+                raw = f.read(length)
+                fields, http, payload = parse(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
+                kind = fields.get("warc-type")
+                told, own = sha1_of(fields.get("warc-payload-digest")), hashlib.sha1(payload).hexdigest()
+                if kind == "response" and told not in (None, own):
                     raise ValueError(f"digest of record at {path}:{offset} differs")
-                out["page_id"].append(int(fields["WARC-Page-ID"]) if "WARC-Page-ID" in fields else None)
-                out["payload_bytes"].append(int(http["Content-Length"]))
-                out["payload_digest"].append(sha1)
-                out["record_type"].append(fields["WARC-Type"])
-                out["refers_to"].append(int(fields["WARC-Refers-To-Page-ID"]) if revisit else None)
-                out["url"].append(fields.get("WARC-Target-URI"))
-                out["payload"].append(None if revisit or not with_payload else payload)
+                out["page_id"].append(number(fields.get("warc-page-id")))
+                out["payload_bytes"].append(number((http or {}).get("content-length")) if kind == "revisit" else len(payload))
+                out["payload_digest"].append(told if kind == "revisit" else own)
+                out["record_type"].append(kind)
+                out["refers_to"].append(number(fields.get("warc-refers-to-page-id")))
+                out["url"].append(fields.get("warc-target-uri"))
+                out["payload"].append(payload if with_payload and kind != "revisit" else None)
             return out
 
         return run
