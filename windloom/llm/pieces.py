@@ -7,8 +7,13 @@ the lattice falls apart into chunks. Each chunk is solved once while a task reme
 it: best path, and how much worse its second path is. The text's N best can change only the N - 1 chunks
 whose second paths cost least, so A-star runs over these chunks' lattice, joined.
 
+Scores are log probabilities of pieces. A unigram model has its own. A model of merges has only the ranks of its merges,
+which can't be added up: its pieces get the logarithms of a Zipf law over rank, 1 / rank over the harmonic sum, as
+merges are learned by frequency. Nothing is fitted to the texts, so an encoding depends on the model and the text only.
+
 Null and empty texts have no pieces and one segmentation of score 0. A text holding the word mark itself
-decodes to spaces there; round_trip tells.
+decodes to spaces there; round_trip tells. Of equal scores the segmentation is taken that splits later, always the same;
+equal rows get equal rows, empty tables none.
 """
 
 from __future__ import annotations
@@ -32,13 +37,29 @@ REMEMBERED = 150_000
 UNKNOWN = 10.0
 
 
+#: Scores are whole multiples of this, so that sums are exact and equally good paths are equal.
+UNIT = 2.0**-20
+
+
+def by_rank(pieces: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
+    """The pieces with log probabilities: scores that are all whole numbers of zero or less stand for the order of merges, which is that of ids."""
+    scores = [s for _, s, t in pieces if t == "normal"]
+    if not scores or any(s > 0 or s != int(s) for s in scores):
+        return pieces
+    whole, out, rank = math.log(math.fsum(1 / (r + 1) for r in range(len(scores)))), [], 0
+    for p, s, t in pieces:
+        rank += t == "normal"
+        out.append((p, -math.log(rank) - whole if t == "normal" else s, t))
+    return out
+
+
 def load(model: str = MODEL) -> list[tuple[str, float, str]]:
-    """(piece, score, type) of a model file, by id; type is normal, byte, unknown or other."""
+    """(piece, log probability, type) of a model file, by id; type is normal, byte, unknown or other."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     kind = lambda i: "byte" if sp.is_byte(i) else "unknown" if sp.is_unknown(i) else "other" if sp.is_control(i) or sp.is_unused(i) else "normal"
-    return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
+    return by_rank([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
 
 
 class Pieces:
@@ -49,11 +70,11 @@ class Pieces:
 
     def __init__(self, pieces: list[tuple[str, float, str]]):
         self.pieces = [p for p, _, _ in pieces]
-        self.score = {p: (s, i) for i, (p, s, t) in enumerate(pieces) if t == "normal"}
+        self.score = {p: (round(s / UNIT) * UNIT, i) for i, (p, s, t) in enumerate(pieces) if t == "normal"}
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == "byte"}
         self.raw = [bytes((int(p[3:5], 16),)) if t == "byte" else p.replace(MARK, " ").encode() for p, _, t in pieces]
         self.unknown_id = next((i for i, (_, _, t) in enumerate(pieces) if t == "unknown"), 0)
-        self.unknown = min((s for s, _ in self.score.values() if s > -1e8), default=0.0) - UNKNOWN
+        self.unknown = min((s for s, _ in self.score.values()), default=0.0) - UNKNOWN
         #: Character by character: a dict of what follows; under "" the score and id of the piece ending here.
         self.trie: dict = {}
         for p, got in self.score.items():
@@ -239,12 +260,23 @@ def _sent(spark: SparkSession, model: str):
     return spark.sparkContext.broadcast(load(model))  # as long as the vocabulary
 
 
+_HELD: dict[str, Pieces] = {}
+
+
+def held(model: str, sent) -> Pieces:
+    """The model's pieces with their memory of chunks, kept while the Python process runs one task after another."""
+    if model not in _HELD:
+        _HELD.clear()
+        _HELD[model] = Pieces(sent.value)
+    return _HELD[model]
+
+
 def encodings(docs: DataFrame, model: str = MODEL, n: int = 4) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as 32-bit integers), scores (n best, best first), round_trip."""
     sent = _sent(docs.sparkSession, model)
 
     def make():
-        p = Pieces(sent.value)
+        p = held(model, sent)
 
         def run(cols):
             out = {"doc_id": cols["doc_id"], "n_pieces": [], "ids_sha256": [], "scores": [], "round_trip": []}
@@ -268,7 +300,7 @@ def tokenised(docs: DataFrame, model: str = MODEL) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {dict(docs.dtypes)[c]}" for c in kept), "n_pieces long, ids array<int>"])
 
     def make():
-        p = Pieces(sent.value)
+        p = held(model, sent)
 
         def run(cols):
             ids = [p.encode(t)[0] for t in cols["text"]]
