@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windloom.operators.distributions import exact_quantiles
+
 # Floor of deviations, bootstrap resamples and seed.
 EPS, RESAMPLES, SEED = 1e-6, 20_000, 20260726
 
@@ -48,9 +50,11 @@ def experiment_summary(episodes: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def performance(runs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count, median, mean, p10, p90 of seconds; median of finite memory, NaN if none."""
-    q = F.percentile("seconds", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    m = F.percentile(F.when(finite(F.col("memory")), F.col("memory")), F.lit(0.5))
-    return runs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("seconds").alias("mean_s"), q.alias("q"), F.coalesce(m, F.lit(float("nan"))).alias("memory")).select(*by, "n", "mean_s", F.col("q")[0].alias("p10_s"), F.col("q")[1].alias("median_s"), F.col("q")[2].alias("p90_s"), "memory")
+    by = list(by)
+    q = exact_quantiles(runs, by, "seconds", [0.1, 0.5, 0.9]).groupBy(*by).agg(*(F.max(F.when(F.col("k") == k, F.col("q"))).alias(n) for k, n in enumerate(("p10_s", "median_s", "p90_s"))))
+    m = exact_quantiles(runs.where(finite(F.col("memory"))), by, "memory", [0.5]).select(*by, F.col("q").alias("memory"))
+    counts = runs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("seconds").alias("mean_s"))
+    return counts.join(q, by, "left").join(m, by, "left").select(*by, "n", "mean_s", "p10_s", "median_s", "p90_s", F.coalesce("memory", F.lit(float("nan"))).alias("memory"))
 
 
 def interval(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -85,12 +89,15 @@ def mean_of_duplicates(obs: DataFrame, keys: Sequence[str], value: str) -> DataF
 
 def speed_maps(cells: DataFrame, at: Sequence[str] = ("y", "x")) -> DataFrame:
     s = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
-    return cells.withColumn("_s", s).groupBy(*at).agg(F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("std"), F.percentile("_s", F.lit(0.95)).alias("p95"))
+    speed = cells.withColumn("_s", s)
+    p95 = exact_quantiles(speed, at, "_s", [0.95]).select(*at, F.col("q").alias("p95"))
+    return speed.groupBy(*at).agg(F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("std")).join(p95, list(at))
 
 
 def colour_limit(cells: DataFrame) -> DataFrame:
     s = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
-    return cells.agg(F.greatest(F.percentile(s, F.lit(0.99)), F.lit(1.0)).alias("colour_limit"))
+    q = exact_quantiles(cells.select(s.alias("_s")), [], "_s", [0.99])
+    return q.agg(F.greatest(F.max("q"), F.lit(1.0)).alias("colour_limit"))
 
 
 def mass_function(samples: DataFrame, k: str, support: DataFrame) -> DataFrame:
@@ -168,13 +175,17 @@ def mean_by_group(df: DataFrame, inner: Sequence[str], outer: Sequence[str], val
     return m.groupBy(*outer).agg(F.avg("_m").alias(value)) if outer else m.agg(F.avg("_m").alias(value))
 
 
-def pairwise_spread(members: DataFrame, group: Sequence[str], member: str, keys: Sequence[str]) -> DataFrame:
-    """group, rms: mean over pairs of members (a few per condition) of the RMS vector difference."""
+def pair_distances(members: DataFrame, group: Sequence[str], member: str, keys: Sequence[str]) -> DataFrame:
+    """group, m1, m2, rms: the RMS vector difference of each pair of a group's members (a few per condition)."""
     a = members.select(*group, *keys, F.col(member).alias("m1"), F.col("u").alias("u1"), F.col("v").alias("v1"))
     b = members.select(*group, *keys, F.col(member).alias("m2"), F.col("u").alias("u2"), F.col("v").alias("v2"))
     d = F.pow(F.col("u1") - F.col("u2"), 2) + F.pow(F.col("v1") - F.col("v2"), 2)
-    per = a.join(b, [*group, *keys]).where("m1 < m2").groupBy(*group, "m1", "m2").agg(F.sqrt(F.avg(d)).alias("rms"))
-    return per.groupBy(*group).agg(F.avg("rms").alias("rms"))
+    return a.join(b, [*group, *keys]).where("m1 < m2").groupBy(*group, "m1", "m2").agg(F.sqrt(F.avg(d)).alias("rms"))
+
+
+def pairwise_spread(members: DataFrame, group: Sequence[str], member: str, keys: Sequence[str]) -> DataFrame:
+    """group, rms: mean over pairs of members of the RMS vector difference."""
+    return pair_distances(members, group, member, keys).groupBy(*group).agg(F.avg("rms").alias("rms"))
 
 
 def ordered(df: DataFrame, keys: Sequence[str], order: str, name: str = "idx") -> DataFrame:

@@ -82,10 +82,10 @@ def gradient_w1(pred: DataFrame, ref: DataFrame, keys: Sequence[str], count: int
 
 
 def spread_ratio(pred: DataFrame, ref: DataFrame, group: Sequence[str], seed: str, day: str, keys: Sequence[str]) -> DataFrame:
-    """Mean pairwise RMS of seeds per condition against that of days per (month, hour)."""
-    a = aggregate.pairwise_spread(pred, group, seed, keys).agg(F.avg("rms").alias("p"), F.lit(1).alias("one"))
-    b = aggregate.pairwise_spread(ref, group, day, keys).agg(F.avg("rms").alias("r"), F.lit(1).alias("one"))
-    return a.join(b, "one").select((F.col("p") / F.col("r")).alias("ratio"))
+    """ratio, generated, observed: mean RMS over pairs of seeds of one condition (group and day) against that over pairs of days of one group."""
+    a = aggregate.pair_distances(pred, [*group, day], seed, keys).agg(F.avg("rms").alias("generated"))
+    b = aggregate.pair_distances(ref, group, day, keys).agg(F.avg("rms").alias("observed"))
+    return a.crossJoin(F.broadcast(b)).select((F.col("generated") / F.col("observed")).alias("ratio"), "generated", "observed")  # one row each
 
 
 def white_noise(cells: DataFrame, keys: Sequence[str] = ("s", "level"), seed: int = 0) -> DataFrame:

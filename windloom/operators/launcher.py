@@ -40,8 +40,19 @@ def coerce(text: str, like):
     return type(like)(text) if like is not None else text
 
 
-def launch(spark: SparkSession, suite: dict, run: Callable[[dict], dict]) -> DataFrame:
-    """run_id, name, result (JSON), error: a task for each run of {'defaults': .., 'runs': [..]}."""
+def launch(spark: SparkSession, suite: dict, run: Callable[[dict], dict] | None = None) -> DataFrame:
+    """run_id, name, result (JSON), error: a task for each run of {'defaults': .., 'runs': [..]}.
+
+    Without ``run`` each run's config names a registered one under "run"; an unknown name is that run's error.
+    """
+    known = dict(REGISTRY)
+
+    def named(config: dict) -> dict:
+        if config.get("run") not in known:
+            raise KeyError(f"unknown run {config.get('run')!r}")
+        return known[config["run"]](config)
+
+    run = run or named
     rows = [(i, str(r.get("name", i)), json.dumps(deep_merge(suite.get("defaults", {}), r))) for i, r in enumerate(suite["runs"])]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

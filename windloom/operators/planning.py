@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from windloom.functions.shared import shared_folder
+
 # Sweeps, relative tolerance, share of the out-of-bounds cost from which a cell counts as lost.
 SWEEPS, TOLERANCE, SENTINEL = 2000, 1e-3, 0.99
 
 
+
 def transitions(spark: SparkSession, drift: DataFrame, actor: np.ndarray, n_x: int, n_y: int, mode: str = "terminal") -> DataFrame:
     """i, j, action, i2, j2, p, out: drift is (i, j, d, p) along i, actor mass (actions, displacements) along j."""
     most = actor.shape[1] // 2
@@ -34,10 +37,7 @@ def backward_induction(reward: DataFrame, moves: DataFrame, horizon: int, checkp
     One join and aggregate a step; lineage is cut with checkpoints. Of equal actions the first.
     """
     spark = reward.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(spark)
     moves = moves.checkpoint()
     value = reward.select("i", "j", F.lit(0.0).alias("value"), F.lit(0).alias("action"))
     w = Window.partitionBy("i", "j").orderBy(F.desc("q"), "action")

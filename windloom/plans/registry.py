@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from windloom.plans import distribution_queries, spectral_queries, window_queries  # noqa: F401  register their queries
+from windloom.plans import condition_queries, distribution_queries, spectral_queries, window_queries  # noqa: F401  register their queries
 from windloom.plans.base import ORACLE, QUERIES  # noqa: F401

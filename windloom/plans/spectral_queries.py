@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from windloom.functions import noise
+from windloom.functions.shared import shared_folder
 from windloom.operators import arena, boards, crops, ensemble, fields, launcher, lazyfield, planning, spectra, temporal, windows
 from windloom.plans.base import query, rounded
 from windloom.plans.spectral_sql import WINDOWED_SQL
@@ -298,7 +299,7 @@ def streamed_stats(spark, d):
     """The normalisation statistics by a stream over files, stopped after one batch and taken up again."""
     from windloom.streaming.incremental import streamed_stats as stats
 
-    base = tempfile.mkdtemp() if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{abs(hash((d, id(spark), np.random.default_rng().integers(1 << 62))))}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, d, "lineitem").select(F.col("l_linenumber").alias("level"), F.col("l_extendedprice").alias("u"), F.col("l_quantity").alias("v")).repartition(3).write.parquet(f"{base}/in")
     how = (f"{base}/in", "level int, u double, v double", f"{base}/ck", "streamed_stats_view")
     stats(spark, *how, max_batches=1)
