@@ -185,8 +185,15 @@ def build(rows: DataFrame, dim: int = DIM, id_col: str = "vec_id", vector_col: s
     fitted = {}
     for length, n in counts.items():
         wanted = min(CELLS, -(-n // cell_rows))
-        part = valid.where(F.col("length") == length).orderBy(F.xxhash64("vec_id", "v")).limit(sample).select("v").toArrow() if wanted > 1 else None
-        points = _matrix(part.column(0).combine_chunks(), length) @ projection(length, dim) if part else np.zeros((0, dim))
+        points = np.zeros((0, dim))
+        if wanted > 1:
+
+            def projected(batches, length=length):
+                for batch in batches:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(_matrix(batch.column(0), length) @ projection(length, dim)), pa.list_(pa.float64()))], names=["point"])
+
+            part = valid.where(F.col("length") == length).orderBy(F.xxhash64("vec_id", "v")).limit(sample).select("v").mapInArrow(projected, "point array<double>")
+            points = _matrix(part.toArrow().column(0).combine_chunks(), dim)  # at most sample rows of dim numbers
         fitted[length] = Cells(points, wanted)
 
     def assign(batches):
