@@ -159,8 +159,10 @@ def test_each_candidate_comes_once(spark, monkeypatch):
     texts = list(varied(rng, 40, 120, [int(c) for c in rng.integers(0, 6, 40)]))
     for rows in (1 << 19, 100):
         monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
-        d = simhash.fingerprinted(docs(spark, texts)).withColumn("node", F.col("doc_id")).withColumn("root", F.col("doc_id"))
-        got = [(r["a"], r["b"]) for r in simhash.candidates(d, 40).collect()]
+        d = simhash.fingerprinted(docs(spark, texts)).withColumn("node", F.col("doc_id")).withColumn("root", F.col("doc_id")).withColumn("cell", F.col("doc_id") % 3)
+        rows_ = simhash.candidates(d, 40).collect()
+        got = [tuple(sorted(p)) for r in rows_ for p in np.frombuffer(r["pairs"], np.int64).reshape(-1, 2).tolist()]
+        assert all({a % 3, b % 3} == {r["low"], r["high"]} for r in rows_ for a, b in np.frombuffer(r["pairs"], np.int64).reshape(-1, 2).tolist())
         wide = [int.from_bytes(simhash.wide_fingerprint(simhash._shingles(t, 5)), "big") for t in texts]
         size = [len(simhash.shingle_set(t)) for t in texts]
         want = [(a, b) for a, b in itertools.combinations(range(40), 2) if (wide[a] ^ wide[b]).bit_count() <= simhash.WIDE_RADIUS and 5 * min(size[a], size[b]) >= 4 * max(size[a], size[b]) and any(((wide[a] ^ wide[b]) >> s & 0xFFFFFFFF).bit_count() <= 4 for s in range(0, 256, 32))]

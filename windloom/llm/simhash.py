@@ -248,8 +248,8 @@ SIMILAR = 0.8
 #: Sets of so many shingles meet by deletions: at 0.8 one of two such sets is the other without one shingle.
 #: Pairs with a union of more need eight shingles on both sides, and all such sets have a wide fingerprint.
 FEW_SHINGLES, SKETCHED_FROM = 9, 8
-#: Candidates with which each text is compared first; texts in a cell of the comparison, at most about twice.
-NEAREST, CELL = 2, 128
+#: Candidates with which each text is compared first; texts meant for a cell of the comparison.
+NEAREST, CELL = 2, 256
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -352,10 +352,11 @@ def _members(a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray,
 
 
 def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, least: float = SIMILAR, nearest: int | None = None) -> DataFrame:
-    """a, b, apart: each pair of distinct(node, root, size, s0 to s3) once that meets under a key, has different roots and is worth comparing.
+    """Each pair of distinct(node, root, size, s0 to s3) once that meets under a key, has different roots and is worth comparing.
 
     Of the keys under which a pair meets, and the blocks where it does, the first one gives it. With ``nearest`` a block
-    gives only so many for each of its nodes, as (node, other).
+    gives only so many for each of its nodes, as rows (a: node, b: other, apart). Else distinct has a column cell, and a
+    block gives one row for each pair of cells, (low, high, pairs): pairs are packed, as a crowd of texts near each other has many.
     """
     half, prefix = KEY_RADIUS // 2, _prefix(n_rows, KEY_RADIUS // 2, KEY_BITS, 4)
     low = KEY_BITS - prefix
@@ -364,7 +365,7 @@ def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, leas
     for key in range(WIDE // KEY_BITS):
         top = F.shiftrightunsigned(S[key // 2], 64 - prefix) if key % 2 == 0 else F.shiftrightunsigned(S[key // 2], low).bitwiseAND(F.lit((1 << prefix) - 1))
         blocks += [top.bitwiseXOR(F.lit(m).cast("long")) + F.lit(key << prefix).cast("long") for m in masks]
-    sent = distinct.select("node", "root", "size", *S, F.explode(F.array(*blocks)).alias("block"))
+    sent = distinct.select("node", "root", "size", *S, *([] if nearest is not None else ["cell"]), F.explode(F.array(*blocks)).alias("block"))
 
     def key_of(wide, key):
         return (wide[:, key // 2] >> np.uint64(0 if key % 2 else 32)) & np.uint64((1 << 32) - 1)
@@ -402,17 +403,26 @@ def candidates(distinct: DataFrame, n_rows: int, radius: int = WIDE_RADIUS, leas
             found.append((p[near], q[near]))
         p, q = (np.concatenate(v) for v in zip(*found))
         a, b, apart = np.where(node[p] < node[q], p, q), np.where(node[p] < node[q], q, p), _apart(wide, p, q).astype(np.int32)
-        if nearest is not None and len(a):
+        if nearest is None:
+            cell = pdf["cell"].to_numpy()[order]
+            low_, high = np.minimum(cell[a], cell[b]), np.maximum(cell[a], cell[b])
+            by = np.lexsort((high, low_))
+            a, b, low_, high = a[by], b[by], low_[by], high[by]
+            starts = np.flatnonzero(np.r_[True, (low_[1:] != low_[:-1]) | (high[1:] != high[:-1])]) if len(a) else np.zeros(0, np.int64)
+            packed = [np.stack([node[a[x:y]], node[b[x:y]]], axis=1).tobytes() for x, y in zip(starts, np.r_[starts[1:], len(a)])]
+            return pd.DataFrame({"low": low_[starts], "high": high[starts], "pairs": packed})
+        if len(a):
             ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-            order = np.lexsort((pair, apart[pair], ends))
-            ends, pair = ends[order], pair[order]
+            near = np.lexsort((pair, apart[pair], ends))
+            ends, pair = ends[near], pair[near]
             own = np.arange(len(ends)) - np.searchsorted(ends, ends) < nearest
             ends, pair = ends[own], pair[own]
             a, b, apart = ends, a[pair] + b[pair] - ends, apart[pair]
         return pd.DataFrame({"a": node[a], "b": node[b], "apart": apart})
 
     partitions = max(96, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sent.repartition(partitions, "block").groupBy("block").applyInPandas(block, "a long, b long, apart int")
+    schema = "low long, high long, pairs binary" if nearest is None else "a long, b long, apart int"
+    return sent.repartition(partitions, "block").groupBy("block").applyInPandas(block, schema)
 
 
 def _sets(docs: DataFrame, need: DataFrame, words: int, few: int = 200_000) -> DataFrame:
@@ -429,38 +439,59 @@ def _sets(docs: DataFrame, need: DataFrame, words: int, few: int = 200_000) -> D
     return map_batches(rows, make, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least ``least``.
+def cells_of(pairs: DataFrame) -> DataFrame:
+    """node, cell: nodes of pairs(a, b) with a common neighbour are dealt into cells of about CELL."""
+    ends = pairs.select(F.col("a").alias("node"), F.xxhash64("b").alias("o")).union(pairs.select(F.col("b").alias("node"), F.xxhash64("a").alias("o")))
+    label = stored(ends.groupBy("node").agg(F.min("o").alias("o")).select("node", F.least("o", F.xxhash64("node")).alias("label")))
+    counts = stored(label.groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("long").alias("k")))
+    return stored(joined(label, counts, ["label"], F.col("k") * CELL * HOT_SHARE > label.count()).select("node", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k"))).alias("cell")))
+
 
-    Nodes with a common neighbour are dealt into cells of about CELL, and a set is sent once to every pair of cells
-    that holds a pair of its node: so in a group whose members are all each other's candidates a set is sent
-    members / CELL times and not once for each pair.
+def _alike(packed: DataFrame, cells: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b of the pairs of packed(low, high, pairs) whose sets' Jaccard similarity is at least ``least``.
+
+    A set is sent once to every pair of cells that its cell is in: so in a crowd whose members are all each other's
+    candidates it is sent members / CELL times and not once for each pair, and no pair is a row.
     """
-    ends = pairs.select(F.col("a").alias("node"), F.xxhash64("b").alias("o")).union(pairs.select(F.col("b").alias("node"), F.xxhash64("a").alias("o")))
-    label = ends.groupBy("node").agg(F.min("o").alias("o")).select("node", F.least("o", F.xxhash64("node")).alias("label"))
-    label = stored(label)
-    counts = label.groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("long").alias("k"))
-    cell = stored(joined(label, stored(counts), ["label"], F.col("k") * CELL * HOT_SHARE > label.count()).select("node", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k"))).alias("cell")))
-    of = lambda side: cell.select(F.col("node").alias(side), F.col("cell").alias(f"c{side}"))
-    dealt = stored(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("at")))
-    wanted = dealt.select("at", F.col("a").alias("node")).union(dealt.select("at", F.col("b").alias("node"))).distinct()
-    rows = wanted.join(sets, "node").select("at", "node", F.lit(None).cast("long").alias("other"), "shingles")
-    rows = rows.union(dealt.select("at", "a", "b", F.lit(None).cast("binary")))
+    packed = stored(packed.withColumn("at", F.xxhash64("low", "high")))
+    at = packed.select("at", F.explode(F.array("low", "high")).alias("cell")).distinct()
+    rows = at.join(cells, "cell").join(sets, "node").select("at", "node", "shingles", F.lit(None).cast("binary").alias("pairs"))
+    rows = rows.union(packed.select("at", F.lit(None).cast("long"), F.lit(None).cast("binary"), "pairs"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_set = pdf["other"].isna()
-        held = {n: np.frombuffer(x, dtype=np.uint64) for n, x in zip(pdf["node"][is_set].tolist(), pdf["shingles"][is_set])}
+        told = pdf["pairs"].isna()
+        held = {n: np.frombuffer(x, dtype=np.uint64) for n, x in zip(pdf["node"][told].astype("int64").tolist(), pdf["shingles"][told])}
         out = []
-        for a, b in zip(pdf["node"][~is_set].tolist(), pdf["other"][~is_set].astype("int64").tolist()):
-            x, y = held[a], held[b]
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            if both + 1e-9 >= least * (len(x) + len(y) - both):
-                out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for raw in pdf["pairs"][~told]:
+            for a, b in np.frombuffer(raw, dtype=np.int64).reshape(-1, 2).tolist():
+                x, y = held[a], held[b]
+                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                if both + 1e-9 >= least * (len(x) + len(y) - both):
+                    out.append((max(a, b), min(a, b)))
+        # of links within a crowd a forest is enough
+        if not out:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        names, flat = np.unique(np.array(out), return_inverse=True)
+        flat = flat.reshape(-1, 2)
+        root = roots(len(names), flat[:, 0], flat[:, 1])
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pd.DataFrame({"a": names[moved], "b": names[root[moved]]})
 
     return rows.groupBy("at").applyInPandas(compare, "a long, b long")
 
 
+def _packed(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """pairs (a, b; a few for each node) as candidates() packs them."""
+    of = lambda side: cells.select(F.col("node").alias(side), F.col("cell").alias(f"c{side}"))
+    dealt = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high"), "a", "b")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = np.ascontiguousarray(pdf[["a", "b"]].to_numpy(dtype=np.int64)).tobytes()
+        return pd.DataFrame({"low": pdf["low"].iloc[:1], "high": pdf["high"].iloc[:1], "pairs": [raw]})
+
+    return dealt.groupBy("low", "high").applyInPandas(pack, "low long, high long, pairs binary")
+
+
 def alike_tree(docs: DataFrame, distinct: DataFrame, words: int = 5, least: float = SIMILAR) -> DataFrame:
     """node, root: components of distinct(node, h, n, d0, d1, size, less, s0 to s3) under a similarity of ``least`` or more.
 
@@ -478,14 +509,11 @@ def alike_tree(docs: DataFrame, distinct: DataFrame, words: int = 5, least: floa
     less = distinct.where(F.size("less") > 0).select(F.col("node").alias("a"), F.explode("less").alias("l")).select("a", "l.d0", "l.d1")
     by_digest = less.join(smaller, ["d0", "d1"]).select("a", "b").distinct()
     need = stored(met.select("node").join(distinct.select("node", "h", "n"), "node"))
-    sets = stored(_sets(docs, need, words))
-    edges = stored(by_digest.union(_alike(pairs, sets, least)))
+    sets, cells = stored(_sets(docs, need, words)), cells_of(pairs)
+    edges = stored(by_digest.union(_alike(_packed(pairs, cells), cells, sets, least)))
     tree = components(edges)
-    open_ = wide.drop("root").join(need.select("node"), "node").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = stored(candidates(open_, n, least=least).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
-    if not rest.limit(1).count():
-        return tree
-    more = stored(_alike(rest, sets, least))
+    open_ = wide.drop("root").join(cells, "node").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = stored(_alike(candidates(open_, n, least=least), cells, sets, least))
     return components(edges.union(more)) if more.limit(1).count() else tree
 
 
