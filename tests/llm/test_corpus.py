@@ -154,6 +154,16 @@ def test_a_crowd_of_near_copies(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want and 2 < len(set(want)) < 150
 
 
+def test_a_crowd_has_few_cells(spark, monkeypatch):
+    """Nodes that chains of pairs connect share cells, so that their pairs are few rows; others have their own."""
+    pairs = spark.range(129).selectExpr("id as a", "id + 1 as b").union(spark.range(1000, 1010).selectExpr("2 * id as a", "2 * id + 1 as b"))
+    for cell, cells, most in ((64, 48, 3), (8, 5, 5)):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "CELLS", cells)
+        got = {r["node"]: r["cell"] for r in simhash.cells_of(pairs).collect()}
+        assert len(got) == 150 and len({got[i] for i in range(130)}) == most and len({got[i] for i in range(2000, 2020)}) == 10
+
+
 def test_each_candidate_comes_once(spark, monkeypatch):
     rng = np.random.default_rng(3)
     texts = list(varied(rng, 40, 120, [int(c) for c in rng.integers(0, 6, 40)]))

@@ -248,8 +248,8 @@ SIMILAR = 0.8
 #: Sets of so many shingles meet by deletions: at 0.8 one of two such sets is the other without one shingle.
 #: Pairs with a union of more need eight shingles on both sides, and all such sets have a wide fingerprint.
 FEW_SHINGLES, SKETCHED_FROM = 9, 8
-#: Candidates with which each text is compared first; texts meant for a cell of the comparison.
-NEAREST, CELL = 2, 256
+#: Candidates with which each text is compared first; texts meant for a cell of the comparison; cells of a crowd at most.
+NEAREST, CELL, CELLS = 2, 64, 48
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -440,21 +440,23 @@ def _sets(docs: DataFrame, need: DataFrame, words: int, few: int = 200_000) -> D
 
 
 def cells_of(pairs: DataFrame) -> DataFrame:
-    """node, cell: nodes of pairs(a, b) with a common neighbour are dealt into cells of about CELL."""
-    ends = pairs.select(F.col("a").alias("node"), F.xxhash64("b").alias("o")).union(pairs.select(F.col("b").alias("node"), F.xxhash64("a").alias("o")))
-    label = stored(ends.groupBy("node").agg(F.min("o").alias("o")).select("node", F.least("o", F.xxhash64("node")).alias("label")))
-    counts = stored(label.groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("long").alias("k")))
-    return stored(joined(label, counts, ["label"], F.col("k") * CELL * HOT_SHARE > label.count()).select("node", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(1)), F.col("k"))).alias("cell")))
+    """node, cell: a crowd, the nodes that chains of pairs(a, b) connect, is dealt into cells of about CELL, at most CELLS of them."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    label = stored(nodes.join(components(pairs), "node", "left").select("node", F.coalesce("root", "node").alias("label")))
+    counts = stored(label.groupBy("label").agg(F.count("*").alias("members")))
+    dealt = joined(label, counts, ["label"], F.col("members") * HOT_SHARE > label.count())
+    k = F.least(F.lit(CELLS), F.ceil(F.col("members") / CELL)).cast("long")
+    return stored(dealt.select("node", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(1)), k)).alias("cell")))
 
 
 def _alike(packed: DataFrame, cells: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """a, b of the pairs of packed(low, high, pairs) whose sets' Jaccard similarity is at least ``least``.
 
     A set is sent once to every pair of cells that its cell is in: so in a crowd whose members are all each other's
-    candidates it is sent members / CELL times and not once for each pair, and no pair is a row.
+    candidates it is sent CELLS times at most and not once for each pair, and no pair is a row.
     """
     packed = stored(packed.withColumn("at", F.xxhash64("low", "high")))
-    at = packed.select("at", F.explode(F.array("low", "high")).alias("cell")).distinct()
+    at = packed.select("at", "low", "high").distinct().select("at", F.explode(F.array_distinct(F.array("low", "high"))).alias("cell"))
     rows = at.join(cells, "cell").join(sets, "node").select("at", "node", "shingles", F.lit(None).cast("binary").alias("pairs"))
     rows = rows.union(packed.select("at", F.lit(None).cast("long"), F.lit(None).cast("binary"), "pairs"))
 
@@ -465,7 +467,8 @@ def _alike(packed: DataFrame, cells: DataFrame, sets: DataFrame, least: float) -
         for raw in pdf["pairs"][~told]:
             for a, b in np.frombuffer(raw, dtype=np.int64).reshape(-1, 2).tolist():
                 x, y = held[a], held[b]
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                z = np.sort(np.concatenate([x, y]), kind="stable")  # two sorted runs are merged
+                both = int(np.count_nonzero(z[1:] == z[:-1]))
                 if both + 1e-9 >= least * (len(x) + len(y) - both):
                     out.append((max(a, b), min(a, b)))
         # of links within a crowd a forest is enough
@@ -500,7 +503,7 @@ def alike_tree(docs: DataFrame, distinct: DataFrame, words: int = 5, least: floa
     """
     wide = distinct.where(F.col("size") >= SKETCHED_FROM).select("node", F.col("node").alias("root"), "size", *S)
     n = distinct.count()
-    first = candidates(wide, n, least=least, nearest=NEAREST)
+    first = stored(candidates(wide, n, least=least, nearest=NEAREST))
     nearest = F.slice(F.array_sort(F.collect_list(F.struct("apart", "b"))), 1, NEAREST)  # of NEAREST a block, and a node is in some hundred blocks
     met = stored(first.groupBy(F.col("a").alias("node")).agg(nearest.alias("m")))
     pairs = stored(met.select("node", F.explode("m.b").alias("b")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
@@ -509,7 +512,7 @@ def alike_tree(docs: DataFrame, distinct: DataFrame, words: int = 5, least: floa
     less = distinct.where(F.size("less") > 0).select(F.col("node").alias("a"), F.explode("less").alias("l")).select("a", "l.d0", "l.d1")
     by_digest = less.join(smaller, ["d0", "d1"]).select("a", "b").distinct()
     need = stored(met.select("node").join(distinct.select("node", "h", "n"), "node"))
-    sets, cells = stored(_sets(docs, need, words)), cells_of(pairs)
+    sets, cells = stored(_sets(docs, need, words)), cells_of(first.select("a", "b"))
     edges = stored(by_digest.union(_alike(_packed(pairs, cells), cells, sets, least)))
     tree = components(edges)
     open_ = wide.drop("root").join(cells, "node").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
