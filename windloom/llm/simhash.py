@@ -512,7 +512,7 @@ def alike_tree(docs: DataFrame, distinct: DataFrame, words: int = 5, least: floa
     less = distinct.where(F.size("less") > 0).select(F.col("node").alias("a"), F.explode("less").alias("l")).select("a", "l.d0", "l.d1")
     by_digest = less.join(smaller, ["d0", "d1"]).select("a", "b").distinct()
     need = stored(met.select("node").join(distinct.select("node", "h", "n"), "node"))
-    sets, cells = stored(_sets(docs, need, words)), cells_of(first.select("a", "b"))
+    sets, cells = stored(_sets(docs, need, words)), cells_of(pairs.union(first.groupBy("a").agg(F.min("b").alias("b"))))  # two or three edges a node join a crowd
     edges = stored(by_digest.union(_alike(_packed(pairs, cells), cells, sets, least)))
     tree = components(edges)
     open_ = wide.drop("root").join(cells, "node").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
