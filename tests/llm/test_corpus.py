@@ -79,6 +79,21 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(e.limit(0)).count() == 0
 
 
+def test_small_forests_take_no_rounds(spark, monkeypatch):
+    """A few edges are joined without a checkpoint for each round; the rounds, for more of them, give the same."""
+    rng = np.random.default_rng(29)
+    e = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(-(1 << 62), 1 << 62, 300)[rng.integers(0, 300, (260, 2))]], "a long, b long").union(spark.sql("select 5L, 5L"))
+    cuts, stored = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df: cuts.append(1) or stored(df))
+    here = sorted(map(tuple, simhash.components(e).collect()))
+    assert len(cuts) == 1
+    monkeypatch.setattr(simhash, "EDGES_AT_ONCE", 0)
+    assert here == sorted(map(tuple, simhash.components(e).collect())) and len(here) > 100
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    assert {r["root"] for r in simhash.components(chain).collect()} == {0} and len(cuts) > 4
+    assert simhash.components(chain.limit(0)).count() == 0
+
+
 def test_near_duplicates_whole(spark, sf_dir):
     d = table(spark, sf_dir, "documents").unionByName(docs(spark, ODD, 10_000))
     rows = d.collect()

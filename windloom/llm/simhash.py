@@ -5,7 +5,7 @@ therefore emits all its variants within r, and fingerprints meeting at a variant
 are shuffled in factored form: a variant is (top bits, low bits), a fingerprint is sent once to every block
 of top bits that its ball reaches, and the block writes out the low-bit variants itself and sorts them. No
 pair of a bucket is ever expanded: each variant links its owners in a star, each block keeps a spanning
-forest, and the forests are joined by large-star / small-star rounds.
+forest, and the forests are joined by the driver where they are small, else by large-star / small-star rounds.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows share a component.
 Rows without an id take part; a component whose rows all lack ids has a null component_id.
@@ -24,6 +24,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,9 +176,26 @@ def links(fps: DataFrame, radius: int = 4, partitions: int | None = None, n_rows
     return sent.repartition(partitions, "block").groupBy("block").applyInPandas(block, "a long, b long").distinct()
 
 
+#: Edges (16 bytes each) whose components the driver finds itself; more go through rounds of joins.
+EDGES_AT_ONCE = 1 << 18
+
+
+def _components_here(edges: DataFrame) -> DataFrame:
+    """What components() gives, found in the driver: no round of joins, each of which leaves a file for every task."""
+    got = edges.toArrow()
+    ends = np.stack([got["a"].to_numpy(), got["b"].to_numpy()], axis=1).astype(np.int64)
+    names, flat = np.unique(ends, return_inverse=True)
+    flat = flat.reshape(-1, 2)
+    root = roots(len(names), flat[:, 0], flat[:, 1])
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return edges.sparkSession.createDataFrame(pa.table({"node": names[moved], "root": names[root[moved]]}), "node long, root long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node reachable) for every node of an edge that isn't a root; large-star / small-star rounds."""
+    """node, root (the least node reachable) for every node of an edge that isn't a root; beyond EDGES_AT_ONCE large-star / small-star rounds."""
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if e.count() <= EDGES_AT_ONCE:
+        return _components_here(e)
     last = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
